@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _NAMES = {
+    "op10_quality_rules": "quality",
     "op9_simhash_near_dedup": "simhash",
 }
 
