@@ -6,6 +6,7 @@ import importlib
 
 _NAMES = {
     "op10_quality_rules": "quality",
+    "op7_pii": "pii",
     "op9_simhash_near_dedup": "simhash",
 }
 
