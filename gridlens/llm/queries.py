@@ -7,6 +7,7 @@ import importlib
 _NAMES = {
     "op10_quality_rules": "quality",
     "op7_pii": "pii",
+    "op4_best_fit_packing": "packing",
     "op9_simhash_near_dedup": "simhash",
 }
 
