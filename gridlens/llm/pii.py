@@ -76,7 +76,7 @@ _IS_CARD = f"transform(array({_DIGITS}), d -> length(d) BETWEEN 16 AND 19 AND {_
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id and, for each kind, an array of spans (s, e, m, c)."""
+    """_id, _text and, for each kind, an array of spans (s, e, m, c)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
     own = own.withColumns({k: F.expr(_located(p)) for k, p in PATTERNS.items()})
@@ -89,7 +89,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "local_phone": F.col("local_phone"),
         "secret": F.col("secret"),
     }
-    return own.select("_id", *[v.alias(k) for k, v in keep.items()])
+    return own.select("_id", "_text", *[v.alias(k) for k, v in keep.items()])
 
 
 def _described(kind: str) -> Column:
@@ -150,22 +150,53 @@ def classifier(rows: list[tuple[str, str, int, int, int]]) -> dict[tuple[str, st
     return out
 
 
+def _decided(described: DataFrame) -> dict[str, list[str]]:
+    """For each loose kind the (votes, length, digits) that count as personal data, from the candidates of all documents."""
+    each = F.explode(F.concat(*[F.expr(f"transform({k}, x -> struct('{k}' AS k, x.v AS v, x.n AS n, x.d AS d))") for k in (*BASE, *LOOSE)]))
+    rows = described.select(each.alias("x")).groupBy("x.k", "x.v", "x.n", "x.d").agg(F.count(F.lit(1))).collect()  # kinds x 27 x 8 x 5 at most
+    out: dict[str, list[str]] = {k: [] for k in LOOSE}
+    for (kind, v, n, d), good in sorted(classifier(sorted(map(tuple, rows))).items()):
+        if good and kind in out:
+            out[kind].append(f"{v}{n}{d}")
+    return out
+
+
+def _chosen(decided: dict[str, list[str]]) -> list[Column]:
+    """Each kind's spans as arrays of (s, e)."""
+    out = [F.expr(f"transform({k}, x -> struct(x.s AS s, x.e AS e))").alias(k) for k in BASE]
+    for k, names in decided.items():
+        listed = ", ".join(f"'{x}'" for x in names) or "''"
+        out.append(F.expr(f"transform(filter({k}, x -> concat(x.v, x.n, x.d) IN ({listed})), x -> struct(x.s AS s, x.e AS e))").alias(k))
+    return out
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col and, for each kind, its spans as an array of (s, e), sorted, end exclusive.
 
     Null texts are empty and have no spans. Repeated rows are searched each for itself; the
     labelers count them all. An empty table gives no rows. Other columns are ignored.
     """
-    kinds = [*BASE, *LOOSE]
-    own = common.cut(candidates(docs, id_col, text_col).select("_id", *[_described(k) for k in kinds]))
-    each = F.explode(F.concat(*[F.expr(f"transform({k}, x -> struct('{k}' AS k, x.v AS v, x.n AS n, x.d AS d))") for k in kinds]))
-    rows = own.select(each.alias("x")).groupBy("x.k", "x.v", "x.n", "x.d").agg(F.count(F.lit(1))).collect()  # kinds x 27 x 8 x 5 at most
-    good = [k for k, ok in sorted(classifier(sorted(map(tuple, rows))).items()) if ok]
-    out = [F.expr(f"transform({k}, x -> struct(x.s AS s, x.e AS e))").alias(k) for k in BASE]
-    for k in LOOSE:
-        names = ", ".join(f"'{v}{n}{d}'" for kind, v, n, d in good if kind == k) or "''"
-        out.append(F.expr(f"transform(filter({k}, x -> concat(x.v, x.n, x.d) IN ({names})), x -> struct(x.s AS s, x.e AS e))").alias(k))
-    return own.select(F.col("_id").alias(id_col), *out)
+    own = common.cut(candidates(docs, id_col, text_col).select("_id", *[_described(k) for k in (*BASE, *LOOSE)]))
+    return own.select(F.col("_id").alias(id_col), *_chosen(_decided(own)))
+
+
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with each span found replaced by its kind in angle brackets; of overlapping spans the first names all.
+
+    Null texts stay null, other columns as they are.
+    """
+    kinds = (*BASE, *LOOSE)
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_t"))
+    described = candidates(rows, "_row", "_t").select("_id", "_text", *[_described(k) for k in kinds])
+    decided = _decided(described.drop("_id", "_text"))
+    every = F.sort_array(F.concat(*[F.expr(f"transform({k}, x -> struct(x.s AS s, x.e AS e, '{k}' AS k))") for k in kinds])).alias("_all")
+    found = described.select("_id", "_text", *_chosen(decided)).select("_id", "_text", every)
+    told = """aggregate(_all, struct(0 AS at, CAST(array() AS ARRAY<STRING>) AS got), (t, x) -> CASE WHEN x.e <= t.at THEN t ELSE struct(x.e AS at,
+        concat(t.got, array(concat(substr(_text, t.at + 1, greatest(0, x.s - t.at)), CASE WHEN x.s < t.at THEN '' ELSE concat('<', x.k, '>') END))) AS got) END)"""
+    found = found.withColumn("_told", F.expr(told))
+    left = F.when(F.size("_all") > 0, F.concat(F.array_join("_told.got", ""), F.expr("substr(_text, _told.at + 1)"))).otherwise(F.col("_text"))
+    text = F.when(F.col("_id").getField(text_col).isNotNull(), left)
+    return found.select(*[text.alias(c) if c == text_col else F.col("_id").getField(c).alias(c) for c in docs.columns])
 
 
 def _told(kinds: list[str]) -> Column:

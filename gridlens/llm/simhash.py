@@ -124,5 +124,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(label, "fp").select(F.col("_id").alias(id_col), hexed, "component_id")
 
 
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of its group. Rows that share an id stay or go together; null ids stay."""
+    found = near_duplicates(docs, id_col, text_col, shingle)
+    least = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_least")).distinct()
+    named = docs.join(least, docs[id_col] == least["_least"], "left_semi")
+    return named.union(docs.where(F.col(id_col).isNull()))
+
+
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3)
