@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _NAMES = {
+    "op1_embedding_near_dedup": "embedding",
     "op10_quality_rules": "quality",
     "op7_pii": "pii",
     "op4_best_fit_packing": "packing",
