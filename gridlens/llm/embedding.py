@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import common
 
 COSINE = 0.95
-TABLES, PARTS, PROBES = 10, 3, 4
+TABLES, PARTS, PROBES = 6, 3, 3
 BLOCK = 512
 SEED = 20
 

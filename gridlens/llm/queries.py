@@ -8,6 +8,7 @@ _NAMES = {
     "op1_embedding_near_dedup": "embedding",
     "op10_quality_rules": "quality",
     "op7_pii": "pii",
+    "op3_warc": "warc",
     "op4_best_fit_packing": "packing",
     "op6_suffix_array_dedup": "repeats",
     "op9_simhash_near_dedup": "simhash",
