@@ -10,6 +10,8 @@ _NAMES = {
     "op7_pii": "pii",
     "op3_warc": "warc",
     "op4_best_fit_packing": "packing",
+    "op5_sentencepiece": "pieces",
+    "op8_token_counts": "pieces",
     "op6_suffix_array_dedup": "repeats",
     "op9_simhash_near_dedup": "simhash",
 }
