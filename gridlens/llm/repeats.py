@@ -259,21 +259,42 @@ def _spans(batches):
             yield from work(held, True)[0]
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, mark, spans): sorted byte spans [s, e) of each text that an earlier id has too; texts without any are absent."""
-    n = common.parts(docs.sparkSession)
+def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, t, mark; rows without an id are neither earlier nor later than any."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t")).where("id IS NOT NULL")
-    mark = F.xxhash64("t").alias("mark")
-    # Equal texts: all but the least id are covered whole, so that only that one is searched.
-    seen = own.where(F.octet_length("t") >= SPAN).select("id", mark, F.octet_length("t").alias("n"), F.sha2("t", 256).alias("digest"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t")).where("id IS NOT NULL").withColumn("mark", F.xxhash64("t"))
+
+
+def _copies(own: DataFrame) -> DataFrame:
+    """Texts that an earlier id has as a whole; they need no search."""
+    seen = own.where(F.octet_length("t") >= SPAN).select("id", "mark", F.octet_length("t").alias("n"), F.sha2("t", 256).alias("digest"))
     first = seen.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
-    copies = common.cut(seen.join(first, "digest").where("id > first").select("id", "mark", F.lit(0).alias("s"), F.col("n").alias("e")))
-    grams = own.mapInArrow(_anchored, "key long, id long, pos int").repartition(n, "key").sortWithinPartitions("key", "id")
-    places = grams.mapInArrow(_shared, "key long, id long, pos int").groupBy("id").agg(F.collect_list("pos").alias("places"))
-    texts = own.select("id", mark, "t").join(places, "id").join(copies.select("id", "mark"), ["id", "mark"], "left_anti")
-    around = texts.mapInArrow(_contexts, "key long, id long, mark long, pos int, around binary").repartition(n, "key").sortWithinPartitions("key", "id")
-    found = common.cut(around.mapInArrow(_spans, "kind int, id long, mark long, s int, e int, d1 long, d2 long"))
+    return common.cut(seen.join(first, "digest").where("id > first").select("id", "mark", F.lit(0).alias("s"), F.col("n").alias("e")))
+
+
+def _places(own: DataFrame) -> DataFrame:
+    """Each id's anchors that another id has too."""
+    grams = own.select("id", "t").mapInArrow(_anchored, "key long, id long, pos int").repartition(common.parts(own.sparkSession), "key").sortWithinPartitions("key", "id")
+    return common.cut(grams.mapInArrow(_shared, "key long, id long, pos int").groupBy("id").agg(F.collect_list("pos").alias("places")))
+
+
+def _found(own: DataFrame, places: DataFrame, copies: DataFrame) -> DataFrame:
+    texts = own.join(places, "id").join(copies.select("id", "mark"), ["id", "mark"], "left_anti").select("id", "mark", "t", "places")
+    around = texts.mapInArrow(_contexts, "key long, id long, mark long, pos int, around binary").repartition(common.parts(own.sparkSession), "key").sortWithinPartitions("key", "id")
+    return common.cut(around.mapInArrow(_spans, "kind int, id long, mark long, s int, e int, d1 long, d2 long"))
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, mark, spans): sorted byte spans [s, e) of each text that an earlier id has too; texts without any are absent.
+
+    Each step is written to the shared folder, so that the shuffle files of the one before can go.
+    """
+    spark, own = docs.sparkSession, _own(docs, id_col, text_col)
+    copies, places = _copies(own), _places(own)
+    common.release(spark)
+    found = _found(own, places, copies)
+    del places
+    common.release(spark)
     wide = found.where("kind = 1")
     least = wide.groupBy("d1", "d2").agg(F.min("id").alias("least"))
     late = wide.join(least, ["d1", "d2"]).where("id > least").select("id", "mark", "s", "e")
