@@ -8,6 +8,7 @@ _NAMES = {
     "op1_embedding_near_dedup": "embedding",
     "op10_quality_rules": "quality",
     "op7_pii": "pii",
+    "op2_toxicity": "toxicity",
     "op3_warc": "warc",
     "op4_best_fit_packing": "packing",
     "op5_sentencepiece": "pieces",
