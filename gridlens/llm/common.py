@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -31,15 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there (survives lost executors)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and go on from there (survives lost executors).
 
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more, rather than when memory runs short."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    What was shuffled to compute it is deleted at once rather than when the driver happens to
+    collect its garbage: nothing reads it again.
+    """
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    shared_dir(spark)
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan takes the setting it is made under
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
 def parts(spark: SparkSession) -> int:

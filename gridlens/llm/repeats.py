@@ -287,14 +287,11 @@ def _found(own: DataFrame, places: DataFrame, copies: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, mark, spans): sorted byte spans [s, e) of each text that an earlier id has too; texts without any are absent.
 
-    Each step is written to the shared folder, so that the shuffle files of the one before can go.
+    Each step is written to the shared folder and its shuffle files go.
     """
-    spark, own = docs.sparkSession, _own(docs, id_col, text_col)
-    copies, places = _copies(own), _places(own)
-    common.release(spark)
-    found = _found(own, places, copies)
-    del places
-    common.release(spark)
+    own = _own(docs, id_col, text_col)
+    copies = _copies(own)
+    found = _found(own, _places(own), copies)
     wide = found.where("kind = 1")
     least = wide.groupBy("d1", "d2").agg(F.min("id").alias("least"))
     late = wide.join(least, ["d1", "d2"]).where("id > least").select("id", "mark", "s", "e")
