@@ -57,7 +57,7 @@ def _decimal_text(c: C, scale: int) -> C:
 
 
 def _float_text(c: C) -> C:
-    """Plain notation from 1e-5 to 1e15, else like 1e+20; Spark's own differs outside 1e-3 to 1e7."""
+    """Plain notation from 1e-4 to 1e16, else like 1e+20; Spark's own differs outside 1e-3 to 1e7."""
     size, own = F.abs(c), c.cast("string")
     power = F.regexp_extract(own, r"E(-?[0-9]+)$", 1)
     base = F.regexp_replace(F.regexp_extract(own, r"^([^E]*)E", 1), r"\.0$", "")
@@ -68,8 +68,8 @@ def _float_text(c: C) -> C:
     return (
         F.when(F.isnan(c) | (size == float("inf")), words)
         .when((size == 0) | ((size >= 1e-3) & (size < 1e7)), own)
-        .when((size >= 1e7) & (size < 1e15), _decimal_text(c, 10))
-        .when((size >= 1e-5) & (size < 1e-3), _decimal_text(c, 25))
+        .when((size >= 1e7) & (size < 1e16), _decimal_text(c, 10))
+        .when((size >= 1e-4) & (size < 1e-3), _decimal_text(c, 25))
         .otherwise(far)
     )
 

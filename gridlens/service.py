@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 
 from gridlens.operators import crosstab, rows
 from gridlens.plans.pivot import AGGREGATIONS
-from gridlens.session import prepared
+from gridlens.session import activate, prepared
 from gridlens.sinks.jobs import Exports
 from gridlens.sources import parquet
 
@@ -36,7 +36,8 @@ def status_of(error: Exception) -> int:
 class Steps:
     """A piece of background work that tells its steps and how long each took."""
 
-    def __init__(self, work):
+    def __init__(self, spark: SparkSession, work):
+        self.spark = spark
         self.id, self.status, self.result, self.error = uuid.uuid4().hex[:12], "running", None, None
         self.steps: list[dict] = []
         self.at = time.time()
@@ -54,6 +55,7 @@ class Steps:
         self.at = now
 
     def _run(self, work) -> None:
+        activate(self.spark)
         try:
             self.result, self.status = work(self.tell), "done"
         except Exception as error:  # noqa: BLE001 - told to the user
@@ -98,7 +100,7 @@ class Service:
         return self._started(lambda tell: self.union(paths, source_column, tell) if paths else self.open(path or "", tell))
 
     def _started(self, work) -> dict:
-        job = Steps(work)
+        job = Steps(self.spark, work)
         self.steps[job.id] = job
         return job.told()
 

@@ -33,3 +33,8 @@ def prepared(spark: SparkSession) -> SparkSession:
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
     return spark
+
+
+def activate(spark: SparkSession) -> None:
+    """Make ``spark`` the session of this thread, whose settings then hold; a new thread has none."""
+    spark._jvm.org.apache.spark.sql.classic.SparkSession.setActiveSession(spark._jsparkSession)

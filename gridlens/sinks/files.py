@@ -28,16 +28,18 @@ def _parts(folder: str) -> list[str]:
     return sorted(p for p in glob.glob(f"{folder}/part-*") if os.path.getsize(p))
 
 
-def _flat(df: DataFrame) -> DataFrame:
-    """CSV holds text: nested and binary columns as theirs."""
-    text = lambda f: text_of(F.col(f"`{f.name}`"), f.dataType).alias(f.name)
-    return df.select(*[text(f) if category(f.dataType) == "complex" or isinstance(f.dataType, T.BinaryType) else F.col(f"`{f.name}`") for f in df.schema])
+def _texts(df: DataFrame, nested: bool) -> DataFrame:
+    """``df`` with what the format has no form for as text: times of day and binary, for CSV nested columns too."""
+    plain = (T.BooleanType, T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    own = lambda f: isinstance(f.dataType, plain) or category(f.dataType) == "complex" and not nested
+    c = lambda f: F.col("`" + f.name.replace("`", "``") + "`")
+    return df.select(*[c(f) if own(f) else text_of(c(f), f.dataType).alias(f.name) for f in df.schema])
 
 
 def _csv(df: DataFrame, folder: str, destination: str) -> None:
     """Parts without headers after one header line; sorted parts stay in order."""
     stamp = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
-    _flat(df).write.options(header=False, emptyValue='""', escape='"', timestampFormat=stamp, timestampNTZFormat=stamp).csv("file://" + folder)
+    _texts(df, nested=True).write.options(header=False, emptyValue='""', escape='"', timestampFormat=stamp, timestampNTZFormat=stamp).csv("file://" + folder)
     quoted = ['"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\n\r') else c for c in df.columns]
     with open(destination, "wb") as out:
         out.write((",".join(quoted) + "\n").encode())
@@ -52,7 +54,7 @@ def _parquet(df: DataFrame, folder: str, destination: str) -> None:
 
 
 def _json(df: DataFrame, folder: str, destination: str) -> None:
-    df.write.options(ignoreNullFields=False).json("file://" + folder)
+    _texts(df, nested=False).write.options(ignoreNullFields=False).json("file://" + folder)
     with open(destination, "wb") as out:
         out.write(b"[")
         first = True

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,8 +107,8 @@ def _schema(spark: SparkSession, base: str, files: list[str]) -> T.StructType:
     reader = lambda: _reader(spark, base, files)
     try:
         return reader().option("mergeSchema", "true").parquet(*files).schema
-    except PySparkException as error:
-        if "CANNOT_MERGE_SCHEMAS" not in str(error) and "Failed merging" not in str(error):
+    except (PySparkException, Py4JError) as error:
+        if "MERGE_SCHEMA" not in str(error) and "INCOMPATIBLE" not in str(error):
             raise _unreadable(error) from error
     with ThreadPoolExecutor(8) as pool:
         schemas = list(pool.map(lambda f: reader().parquet(f).schema, files))
@@ -154,7 +155,7 @@ def open_path(spark: SparkSession, path: str, is_temp: bool = False, display_nam
     _told(progress, "Counting rows")
     try:
         rows = df.count()
-    except PySparkException as error:
+    except (PySparkException, Py4JError) as error:
         raise _unreadable(error) from error
     clean = os.path.expanduser(path.strip())
     return Dataset(clean, df, fields, rows, sum(n for _, n in files), len(files), display_name or os.path.basename(clean.rstrip("/")), is_temp)
