@@ -101,6 +101,31 @@ def _described(kind: str) -> Column:
         CAST(least(7, (x.e - x.s) DIV 6) AS INT) AS n, CAST(length({_DIGITS}) * 4 DIV (x.e - x.s) AS INT) AS d))""").alias(kind)
 
 
+def _odds(votes: str, seen: dict) -> float:
+    """Log odds of personal data from votes; an abstention says nothing."""
+    out = 0.0
+    for i, x in enumerate(votes):
+        if x != "1":
+            of = [seen[c, i, x] / (seen[c, i, "0"] + seen[c, i, "2"]) for c in (0, 1)]
+            out += math.log(of[1]) - math.log(of[0])
+    return out
+
+
+def _tallied(rows, post) -> dict:
+    """Expected votes of each labeler in either class, on a start that favours votes for in one and against in the other."""
+    seen = {(c, i, x): 2.0 if (x == "2") == bool(c) else 1.0 for c in (0, 1) for i in range(3) for x in "02"}
+    for kind, votes, n in rows:
+        for i, x in enumerate(votes):
+            if x != "1":
+                seen[1, i, x] += n * post[kind, votes]
+                seen[0, i, x] += n * (1 - post[kind, votes])
+    return seen
+
+
+def _posterior(odds: float) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+
+
 def reliabilities(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], float]:
     """Posterior that a candidate is personal data, by (kind, votes), from two-class expectation-maximisation.
 
@@ -109,22 +134,12 @@ def reliabilities(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], f
     """
     post = {k: 1.0 if k[0] in BASE else sum(map(int, k[1])) / (2 * len(k[1])) for k in counts}
     for _ in range(ROUNDS):
-        votes = defaultdict(lambda: 0.5)
-        prior, of_kind = defaultdict(lambda: 1.0), defaultdict(lambda: 2.0)
-        total = [1.5, 1.5]
+        seen = _tallied([(k, v, n) for (k, v), n in counts.items()], post)
+        good, every = defaultdict(lambda: 1.0), defaultdict(lambda: 2.0)
         for (kind, v), n in counts.items():
-            p = post[kind, v]
-            prior[kind] += n * p
-            of_kind[kind] += n
-            total = [total[0] + n * (1 - p), total[1] + n * p]
-            for i, x in enumerate(v):
-                votes[0, i, x] += n * (1 - p)
-                votes[1, i, x] += n * p
-        for kind, v in counts:
-            if kind not in BASE:
-                odds = math.log(prior[kind] / (of_kind[kind] - prior[kind]))
-                odds += sum(math.log(votes[1, i, x] / total[1]) - math.log(votes[0, i, x] / total[0]) for i, x in enumerate(v))
-                post[kind, v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+            good[kind] += n * post[kind, v]
+            every[kind] += n
+        post |= {(k, v): _posterior(math.log(good[k] / (every[k] - good[k])) + _odds(v, seen)) for k, v in counts if k not in BASE}
     return post
 
 
@@ -134,19 +149,19 @@ def classifier(rows: list[tuple[str, str, int, int, int]]) -> dict[tuple[str, st
     for kind, v, _, _, n in rows:
         counts[kind, v] += n
     post = reliabilities(counts)
-    total, seen = [1.0, 1.0], defaultdict(lambda: 0.5)
+    seen = _tallied([(k, v, n) for (k, v), n in counts.items()], post)
+    total, shape = defaultdict(lambda: 2.0), defaultdict(lambda: 1.0)
     for kind, v, length, digits, n in rows:
-        p = post[kind, v]
-        for c, w in ((0, n * (1 - p)), (1, n * p)):
-            total[c] += w
-            for f in (("n", length), ("d", digits), *(("v", i, x) for i, x in enumerate(v))):
-                seen[c, f] += w
+        for c, w in ((0, n * (1 - post[kind, v])), (1, n * post[kind, v])):
+            total[c, kind] += w
+            shape[c, kind, "n", length] += w
+            shape[c, kind, "d", digits] += w
     out = {}
     for kind, v, length, digits, _ in rows:
-        odds = math.log(total[1] / total[0])
-        for f in (("n", length), ("d", digits), *(("v", i, x) for i, x in enumerate(v))):
-            odds += math.log(seen[1, f] / total[1]) - math.log(seen[0, f] / total[0])
-        out[kind, v, length, digits] = odds >= math.log(CUTOFF / (1 - CUTOFF))
+        odds = math.log(total[1, kind] / total[0, kind]) + _odds(v, seen)
+        for f in (("n", length), ("d", digits)):
+            odds += math.log(shape[1, kind, *f] / total[1, kind]) - math.log(shape[0, kind, *f] / total[0, kind])
+        out[kind, v, length, digits] = _posterior(odds) >= CUTOFF
     return out
 
 

@@ -25,6 +25,7 @@ LEAST_BYTES = 100
 #: Bytes read at a time; most bytes of a record's header block; level of compression.
 CHUNK, HEADER, LEVEL = 1 << 20, 1 << 16, 1
 #: Fixed values of the format.
+ONCE = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 VERSION, MAGIC = b"WARC/1.", b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -179,7 +180,10 @@ class _Salvage:
             name, colon, value = line.partition(":")
             if not colon:
                 raise ValueError("a header line without a colon")
-            fields[name.strip().lower()] = value.strip()
+            name = name.strip().lower()
+            if name in fields and name in ONCE:
+                raise ValueError("a header field comes twice")
+            fields[name] = value.strip()
         return fields, end + 4
 
     def length(self, fields: dict[str, str]) -> int:

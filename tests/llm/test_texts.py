@@ -1,0 +1,300 @@
+"""Quality rules, personal data, toxicity, tokens, packing and archives against brute force."""
+
+import gzip
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from gridlens.llm import common, packing, pieces, pii, quality, toxicity, warc
+
+BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def test_quality_base_columns(docs, texts, spark):
+    labels = spark.createDataFrame([(5, 1, 0), (9, 1, 0), (10, 1, 0), (30, 0, 0)], "doc_id long, quality int, toxic int")
+    got = quality.quality_rules(docs, labels)
+    want = Counter()
+    for i, t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        windows = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
+        many, covered = Counter(windows), set()
+        for k, w in enumerate(windows):
+            if many[w] > 1:
+                covered |= set(range(k, k + 8))
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        failed = len(words) < 20 or 100 * len(covered) > 30 * len(words)
+        want[i, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered), failed] += 1
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    rows = got.collect()
+    assert Counter(tuple(r[n] for n in names) for r in rows) == want
+    assert all(not r.kept for r in rows if r.base_failed) and any(r.kept for r in rows)
+    passed = quality.passing(docs, labels)
+    assert passed.columns == docs.columns and Counter(r.doc_id for r in passed.collect()) == Counter(r.doc_id for r in rows if r.kept)
+    plan = got._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_quality_score(docs, spark, empty):
+    labels = spark.createDataFrame([(5, 1, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    ratios, least = quality.fit(docs, labels)
+    score = {r.doc_id: r.score for r in quality.quality_rules(docs, labels).collect()}
+    assert len(ratios) == quality.BUCKETS and score[9] >= least and score[5] == pytest.approx(least, abs=0.01) and score[34] < score[9]
+    none = labels.limit(0)
+    assert quality.fit(docs, none)[1] == float("-inf") and quality.quality_rules(empty, labels).count() == quality.passing(empty, none).count() == 0
+
+
+PERSONAL = [
+    (1, "write to a.b@mail.example.com, or x@y.z@q.r or bad@x and _me@a.b.c"), (2, "hosts 10.0.0.256 1.2.3.4.5.6.7.8 010.001.1.1 9.9.9"), (3, "pay 4111 1111 1111 1111 or 4111-1111-1111-1112, 12345678901234567890123"),
+    (4, "call +1 (415) 555-2671 or + 1234 or +12 or +1 23 456 78 90 12 34 56 78"), (5, 'token = "0cf1bbc67ab39b2ddebadc809bed189ed8c6ac4d" end'), (6, None), (7, ""), (8, "é@é.é 日本 u@v.w 😀 u@v.w +4912345678 😀"), (9, "nothing here"), (9, "nothing here"),
+    (10, " ".join(f"n{i}@mail{i}.org" for i in range(700))), (11, "1" * 5000 + " a" * 3000), (12, "4111111111111111"),
+]
+PERSONAL += [(20 + i, f'token = "{hashlib.sha1(bytes([i])).hexdigest()}" end') for i in range(12)]
+
+
+def luhn(digits):
+    return sum(v - 9 * (v > 9) for v in (int(c) * (1 + k % 2) for k, c in enumerate(reversed(digits)))) % 10 == 0
+
+
+def base_spans(t):
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: max(map(int, m.split("."))) < 256),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
+    ]
+    return [(k, m.start(), m.end()) for k, p, ok in kinds for m in re.finditer(p, t or "") if ok(m[0])]
+
+
+def test_personal_data(spark, tmp_path):
+    frame = spark.createDataFrame([(i, t, "x", "y") for i, t in PERSONAL], "doc_id long, text string, email string, _text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = pii.op7_pii(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    want = Counter()
+    for i, t in PERSONAL:
+        spans = base_spans(t)
+        told = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+        want[i, *(sum(k == x for k, _, _ in spans) for x in pii.BASE), hashlib.sha256(told.encode()).hexdigest()] += 1
+    rows = got.collect()
+    assert Counter(tuple(r)[:6] for r in rows) == want
+    for r in rows:
+        base = {f"{k}:{s}:{e}" for k, s, e in base_spans(dict(PERSONAL)[r.doc_id])}
+        assert base <= set(r.spans.split(",")) | {""}
+    assert all("secret:9:49" in r.spans for r in rows if r.doc_id == 5 or r.doc_id >= 20)
+    clean = {r.doc_id: r.text for r in pii.redact(frame).collect()}
+    assert clean[8] == "é@é.é 日本 <email> 😀 <email> <phone> 😀" and clean[6] is None and clean[9] == "nothing here" and clean[12] == "<card>"
+    assert pii.redact(frame).columns == frame.columns and pii.redact(frame.limit(0)).count() == 0
+
+
+def test_reliabilities():
+    counts = {("email", "222"): 50, ("secret", "222"): 30, ("secret", "000"): 100, ("secret", "220"): 10}
+    post = pii.reliabilities(counts)
+    assert post["secret", "222"] > 0.9 > 0.1 > post["secret", "000"]
+
+
+def segments_by_force(scores):
+    """Recursive definition: the best segment, then the rest on either side; shortest and leftmost of equals."""
+    if not scores:
+        return []
+    best = max(((sum(scores[i:j]), -(j - i), -i) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=None)
+    if best is None or best[0] <= 0:
+        return []
+    i, j = -best[2], -best[2] - best[1]
+    return segments_by_force(scores[:i]) + [(i, j)] + [(a + j, b + j) for a, b in segments_by_force(scores[j:])]
+
+
+def test_maximal_segments():
+    rng = random.Random(3)
+    for _ in range(200):
+        scores = [rng.choice([-3.5, -1.25, -0.5, 0.75, 2.0, 3.125]) + rng.random() / 64 for _ in range(rng.randint(0, 14))]
+        got = toxicity.maximal_segments([(i, i + 1, s) for i, s in enumerate(scores)])
+        assert [(s, e) for s, e, _ in got] == segments_by_force(scores)
+        assert all(abs(sum(scores[s:e]) - g) < 1e-9 for s, e, g in got)
+
+
+def test_toxicity(spark, empty):
+    rng = random.Random(4)
+    common_words = [f"{a}{b}{c}" for a in "bdgklm" for b in "aeiou" for c in "nrst"]
+    word = lambda: rng.choice(common_words)
+    rows = []
+    for i in range(300):
+        text = [word() for _ in range(60)]
+        if i % 3 == 0:
+            for k in rng.sample(range(20, 40), 4):
+                text[k] = rng.choice(["scoundrel", "villain", "wretch"])
+        rows.append((i, " ".join(text), int(i % 3 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, ""), (902, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels, learn=lambda c: F.col(c) < 200)
+    assert set(model["gains"]) >= {"scoundrel", "villain", "wretch"}
+    got = {r.doc_id: r for r in toxicity.scored(docs, model).collect()}
+    assert np.mean([(got[i].score >= 0.5) == y for i, _, y in rows if i >= 200]) > 0.97
+    assert all(20 <= p.s and p.e <= 40 for i, _, y in rows if y for p in got[i].passages) and got[900].score == got[901].score < 0.5
+    assert toxicity.fit(docs, labels.limit(0))["gains"] == {} and toxicity.scored(empty, model).count() == 0
+
+
+ODD = ["", " ", "  ", "a b", "a  b", " a b ", "a\n b", "a \n b", "a\xa0 b", "x <|endoftext|> y", "a\tb", "a　 b c d", "日本 語 x", "a \x1c b", "it's  don't 're", "a\n\nb c\r\n d", "\x85 a", "é x", "a​ b", "😀 👍🏽 ok"]
+
+
+def test_chunked_tokens_are_those_of_the_library():
+    whole, own = Tokenizer.from_file(BPE), packing.Tokens(BPE)
+    for t in ODD:
+        assert np.frombuffer(own.ids([t])[0], "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_packing(docs, texts, empty):
+    got = packing.pack(docs, BPE, size=64).collect()
+    whole, by = Tokenizer.from_file(BPE), {}
+    want = Counter()
+    for i, t in texts:
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 2]
+        first = len(ids) % 64 or 64
+        for k, a in enumerate([0, *range(first, len(ids), 64)]):
+            part = ids[a : first if k == 0 else a + 64]
+            want[i, k, a, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    assert Counter(tuple(r)[:5] for r in got) == want
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for one in by.values():
+        one.sort()
+        assert [o for o, _ in one] == [sum(n for _, n in one[:k]) for k in range(len(one))] and sum(n for _, n in one) <= 64
+    assert len(by) <= -(-sum(r.length for r in got) // 64) + 1
+    assert packing.pack(empty, BPE).count() == 0
+
+
+def least_bins(lengths, size):
+    """Optimum by exhaustive search."""
+    best = [len(lengths)]
+
+    def place(k, bins):
+        if len(bins) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(bins)
+            return
+        for i in range(len(bins)):
+            if bins[i] >= lengths[k]:
+                place(k + 1, bins[:i] + [bins[i] - lengths[k]] + bins[i + 1 :])
+        place(k + 1, [*bins, size - lengths[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_bin_completion_is_optimal_on_small_cases():
+    rng = random.Random(6)
+    for _ in range(60):
+        lengths = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 9))), reverse=True)
+        plan = packing.complete(Counter(lengths), 20)
+        assert Counter(x for n, one in plan for x in one * n) == Counter(lengths) and all(sum(one) <= 20 for _, one in plan)
+        assert sum(n for n, _ in plan) == least_bins(lengths, 20)
+
+
+class Small:
+    """A model by hand, for the automaton and the trie."""
+
+    def __init__(self, score):
+        self.score, self.ids = score, {p: i for i, p in enumerate(sorted(score))}
+        self.names, self.longest, self.unknown_score, self.whole, self.unknown, self.byte_of = sorted(score), max(map(len, score)), -50.0, False, -2, {}
+
+    chunks, spelled = pieces.Model.chunks, pieces.Model.spelled
+
+
+def viterbi_by_force(text, model):
+    best = {0: (0.0, [])}
+    for end in range(1, len(text) + 1):
+        tries = [(best[a][0] + model.score[text[a:end]], -(end - a), best[a][1] + [model.ids[text[a:end]]]) for a in range(end) if text[a:end] in model.score]
+        if text[end - 1] not in model.score:
+            tries.append((best[end - 1][0] + model.unknown_score, 0, best[end - 1][1] + [-2]))
+        score = max(t[0] for t in tries)
+        best[end] = (score, min((t for t in tries if t[0] == score), key=lambda t: t[1])[2])
+    return best[len(text)][1]
+
+
+def test_viterbi_and_trie():
+    rng = random.Random(7)
+    for _ in range(30):
+        names = {"".join(rng.choice("abc▁") for _ in range(rng.randint(1, 4))) for _ in range(15)}
+        model = Small({p: -float(rng.randint(1, 9)) for p in names})
+        encoder, counter = pieces.Encoder(model), pieces.Counter(model)
+        words = ["".join(rng.choice("abcz▁") for _ in range(rng.randint(1, 12))) for _ in range(30)]
+        counter.add(words)
+        for w in words:
+            want = viterbi_by_force(w, model)
+            assert encoder.best(w) == want and counter.known[w] == len(want)
+
+
+def test_pieces(docs, texts, empty):
+    model = pieces.Model(PIECES)
+    assert not model.whole
+    encoder, counter = pieces.Encoder(model), pieces.Counter(model)
+    for t in [*ODD, "x▁y", "▁", "<s> <0x41>"]:
+        (raw,) = encoder.encode([t])
+        ids = np.frombuffer(raw, "<u4").tolist()
+        assert model.decode(ids) == t.replace("▁", " ") and counter.counts([t])[0][1] == len(ids)
+    encoded = pieces.encode(docs, PIECES)
+    back = Counter(map(tuple, pieces.decode(encoded, PIECES).collect()))
+    assert back == Counter((i, t or "") for i, t in texts)
+    sizes = Counter((r.doc_id, len(r.ids)) for r in encoded.collect())
+    assert Counter((r.doc_id, r.n_tokens) for r in pieces.token_counts(docs, PIECES).collect()) == sizes
+    assert Counter((r.doc_id, r.n_pieces) for r in pieces.digests(docs, PIECES).where("lossless").collect()) == sizes
+    assert pieces.encode(empty, PIECES).count() == pieces.token_counts(empty, PIECES).count() == pieces.digests(empty, PIECES).count() == 0
+
+
+PAGES = [(1, "http://a/1", "x" * 200), (2, None, "x" * 200), (3, "u r\nl", None), (4, "u", ""), (5, "u", "y" * 99), (6, "u", "y" * 99), (7, "u", "WARC/1.1\r\n\r\n" * 20), (8, "u", "é" * 60), (8, "u", "é" * 60), (0, "u", "x" * 200), (None, "u", "x" * 200)]
+
+
+def test_warc_round_trip(spark, tmp_path):
+    pages = spark.createDataFrame([(*p, "en") for p in PAGES], "page_id long, url string, html string, digest string")
+    folder = f"file://{tmp_path}/w"
+    files = warc.write(pages.repartition(2), folder)
+    rows = warc.read(files, folder).collect()
+    assert {r.kind for r in rows} == {"record"} and len(rows) == len(PAGES)
+    texts = {p: (h or "").encode() for p, _, h in PAGES}
+    for r in rows:
+        page = re.fullmatch(r"<urn:page:(\d*)>", r.record_id)[1]
+        data = texts[int(page) if page else None]
+        assert r.payload_bytes == len(data) and r.payload_digest == hashlib.sha256(data).hexdigest()
+        again = page in ("1", "2", "")
+        assert r.record_type == ("revisit" if again else "response") and r.refers_to == ("<urn:page:0>" if again else None) and r.payload == (b"" if again else data)
+    assert warc.read(warc.write(pages.limit(0), folder), folder).count() == 0
+
+
+def archive(n=6):
+    return [warc.record("response", f"<urn:page:{i}>", "u", b"payload %d " % i * 20, hashlib.sha256(b"payload %d " % i * 20).hexdigest(), 1) for i in range(n)]
+
+
+@pytest.mark.parametrize("zipped", [True, False])
+@pytest.mark.parametrize(("damage", "lost"), [(None, set()), ("flip", {2}), ("cut", {2}), ("junk", set()), ("tail", {5}), ("length", {2})])
+def test_salvage(spark, tmp_path, zipped, damage, lost):
+    records = archive()
+    if damage == "length":
+        records[2] = records[2].replace(b"Content-Length: ", b"Content-Length: 9", 1) if b"Content-Length: 9" not in records[2] else records[2]
+    parts = [gzip.compress(r) if zipped else r for r in records]
+    if damage == "flip":
+        at = len(parts[2]) - (12 if zipped else 30)
+        parts[2] = parts[2][:at] + bytes([parts[2][at] ^ 0x5A]) + parts[2][at + 1 :]
+    elif damage == "cut":
+        parts[2] = parts[2][: len(parts[2]) // 2]
+    elif damage == "junk":
+        parts.insert(3, b"\x1f\x8b\x08 WARC/1. junk" * 50)
+    elif damage == "tail":
+        parts[5] = parts[5][:-20]
+    path = tmp_path / "a.warc"
+    path.write_bytes(b"".join(parts))
+    rows = warc.read(spark.createDataFrame([(str(path),)], "path string"), f"file://{tmp_path}").orderBy("offset").collect()
+    assert {int(r.record_id[10:-1]) for r in rows if r.kind == "record"} == set(range(6)) - lost
+    assert sum(r.length for r in rows) == path.stat().st_size and rows[0].offset == 0  # every byte is in a record or a gap
+    assert [r.kind for r in rows].count("gap") == (damage is not None) and all(r.reason for r in rows if r.kind == "gap")
+
+
+def test_shared_dir(spark):
+    assert common.shared_dir(spark) == common.shared_dir(spark)
