@@ -124,9 +124,110 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(label, "fp").select(F.col("_id").alias(id_col), hexed, "component_id")
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its group. Rows that share an id stay or go together; null ids stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle)
+# Wide fingerprints: the same search for a similarity rather than a fixed number of bits.
+
+#: Bits of a wide fingerprint, of a table's block; in a block, the least certain bits that vary, and how many at once (half the radius).
+WIDE, BLOCK_BITS, UNSURE, HALF = 256, 32, 10, 2
+SIMILARITY = 0.8
+
+
+def wide_fingerprint(data: bytes, shingle: int) -> tuple[bytes, np.ndarray]:
+    """Fingerprint of ``WIDE`` bits and the variants of its blocks, as keys: (table, block with up to ``HALF`` unsure bits flipped).
+
+    A bit is unsure if its votes nearly balance; those are the ones that small edits flip.
+    """
+    words = data.lower().split()
+    flat = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1)) if words else ends
+    width = max(1, min(shingle, len(words)))
+    starts, ends = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
+    digest, counts = xxhash.xxh3_128_digest, np.zeros(WIDE, np.int64)
+    for at in range(0, len(starts), STEP):
+        some = [flat[a:b] for a, b in zip(starts[at : at + STEP], ends[at : at + STEP])]
+        raw = b"".join([digest(s, SEED) + digest(s, SEED + 1) for s in some])
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, WIDE // 8), axis=1)
+        for k in range(0, len(bits), 255):  # 255 ones fit a byte
+            counts += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
+    margin = (2 * counts - len(starts)).reshape(-1, BLOCK_BITS)
+    sure = margin > 0
+    code = sure @ (1 << np.arange(BLOCK_BITS - 1, -1, -1, dtype=np.int64)) | np.arange(len(margin), dtype=np.int64) << BLOCK_BITS
+    flips = 1 << (BLOCK_BITS - 1 - np.argsort(np.abs(margin), 1, kind="stable")[:, :UNSURE].astype(np.int64))
+    a, b = np.triu_indices(UNSURE, 1)
+    every = np.concatenate([np.zeros((len(margin), 1), np.int64), flips, flips[:, a] ^ flips[:, b]], 1)
+    return np.packbits(sure).tobytes(), (code[:, None] ^ every).ravel()
+
+
+def _wide(shingle: int):
+    def run(batches):
+        for batch in common.text_batches(batches, 1 << 20):
+            both = [wide_fingerprint(x, shingle) for x in common.binary_values(batch.column(1))]
+            offsets = np.cumsum([0, *(len(k) for _, k in both)]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([k for _, k in both])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in both], pa.binary()), keys], ["_id", "fp", "keys"])
+
+    return run
+
+
+def _met(batches):
+    """Rows whose key two rows have, from a stream sorted by key; holds one row of the open key at most."""
+    held, open_key = [np.empty(0, np.int64)] * 2, None
+    for batch in batches:
+        key, cid = (np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch.columns))
+        if not len(key):
+            continue
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
+        size = np.diff(np.append(starts, len(key)))
+        both = (size > 1) | (key[starts] == open_key if open_key is not None else False)
+        open_key, end = (key[-1], len(key)) if both[-1] else (None, int(starts[-1]))
+        keep = np.repeat(both, size)[:end]
+        held = [key[end:], cid[end:]]
+        yield pa.RecordBatch.from_arrays([pa.array(key[:end][keep]), pa.array(cid[:end][keep])], ["key", "cid"])
+
+
+def _alike(most: int):
+    """Spanning links, at most ``most`` bits apart, of each run of equal keys."""
+
+    def run(batches):
+        for table in common.sorted_runs(batches, ["key"]):
+            key, cid = table["key"].to_numpy(), table["cid"].to_numpy()
+            fps = np.frombuffer(b"".join(table["fp"].to_pylist()), np.uint64).reshape(len(key), -1)
+            edge = np.flatnonzero(np.diff(key)) + 1
+            found = []
+            for s, e in zip(np.concatenate(([0], edge)), np.concatenate((edge, [len(key)]))):
+                own = fps[s:e]
+                near = lambda a, rest, own=own: np.bitwise_count(own[rest] ^ own[a]).sum(1) <= most
+                found += [(s + i, s + j) for i, j in common.forest(near, e - s)]
+            if found:
+                pairs = np.unique(np.sort(cid[np.array(found)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per input row: id_col, component_id, linking texts whose cosine over shingles, as the wide fingerprint tells it, is ``similarity`` or more.
+
+    Texts meet on the variants of their blocks that flip their least certain bits; found pairs
+    are verified on all ``WIDE`` bits. Null, blank and repeated rows are as in :func:`near_duplicates`.
+    """
+    n, most = common.parts(docs.sparkSession), int(WIDE * np.arccos(similarity) / np.pi)
+    kind = docs.schema[id_col].dataType.simpleString()
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
+    own = common.cut(own.mapInArrow(_wide(shingle), f"_id {kind}, fp binary, keys array<long>"))
+    nodes = common.cut(own.groupBy("fp").agg(F.min("_id").alias("least"), F.min("keys").alias("keys")).withColumn("cid", F.monotonically_increasing_id()))
+    each = nodes.select(F.explode("keys").alias("key"), "cid").repartition(n, "key").sortWithinPartitions("key")
+    met = common.cut(each.mapInArrow(_met, "key long, cid long"))
+    known = met.join(nodes.select("cid", "fp"), "cid").select("key", "cid", "fp").repartition(n, "key").sortWithinPartitions("key")
+    roots = common.components(common.cut(known.mapInArrow(_alike(most), "a long, b long").distinct()))
+    label = nodes.select("fp", "least", "cid").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
+    top = label.groupBy("root").agg(F.min("least").alias("component_id"))
+    return own.select("_id", "fp").join(label.join(top, "root").select("fp", "component_id"), "fp").select(F.col("_id").alias(id_col), "component_id")
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of its group of similar texts. Rows that share an id stay or go together; null ids stay."""
+    found = similar(docs, id_col, text_col, shingle, similarity)
     least = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_least")).distinct()
     named = docs.join(least, docs[id_col] == least["_least"], "left_semi")
     return named.union(docs.where(F.col(id_col).isNull()))

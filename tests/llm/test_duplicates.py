@@ -65,6 +65,21 @@ def test_first_of_each(docs):
     assert 5 in ids and not {6, 8} & set(ids) and ids.count(None) == 2
 
 
+def test_similar_texts_meet(spark, empty):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 4))
+    rows = []
+    for i in range(40):
+        words = [word() for _ in range(400)]
+        rows.append((2 * i, " ".join(words)))
+        for k in rng.choice(400, 6 if i % 2 else 120, replace=False):
+            words[k] = word()
+        rows.append((2 * i + 1, " ".join(words)))
+    got = dict(map(tuple, simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert all(got[2 * i] == 2 * i and got[2 * i + 1] == 2 * i + (0 if i % 2 else 1) for i in range(40))
+    assert simhash.similar(empty).count() == 0
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200), (None, 3)]
     got = dict(map(tuple, common.components(spark.createDataFrame(pairs, "a long, b long")).collect()))
