@@ -1,0 +1 @@
+"""Categories of types, text forms, dates in text."""

@@ -1,0 +1 @@
+"""Query families over one open table."""

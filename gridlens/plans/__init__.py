@@ -1,0 +1 @@
+"""What a request means, as columns and DataFrames."""

@@ -1,0 +1 @@
+"""The explorer has no streams: its tables are parquet at rest. Predicates from ``plans.filters`` are stateless and hold on streaming DataFrames too."""
