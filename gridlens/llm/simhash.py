@@ -131,8 +131,8 @@ WIDE, BLOCK_BITS, UNSURE, HALF = 256, 32, 10, 2
 SIMILARITY = 0.8
 
 
-def wide_fingerprint(data: bytes, shingle: int) -> tuple[bytes, np.ndarray]:
-    """Fingerprint of ``WIDE`` bits and the variants of its blocks, as keys: (table, block with up to ``HALF`` unsure bits flipped).
+def wide_fingerprint(data: bytes, shingle: int) -> tuple[bytes, bytes]:
+    """Fingerprint of ``WIDE`` bits and, of each block, its ``UNSURE`` least certain bits, a byte each.
 
     A bit is unsure if its votes nearly balance; those are the ones that small edits flip.
     """
@@ -150,25 +150,39 @@ def wide_fingerprint(data: bytes, shingle: int) -> tuple[bytes, np.ndarray]:
         for k in range(0, len(bits), 255):  # 255 ones fit a byte
             counts += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
     margin = (2 * counts - len(starts)).reshape(-1, BLOCK_BITS)
-    sure = margin > 0
-    code = sure @ (1 << np.arange(BLOCK_BITS - 1, -1, -1, dtype=np.int64)) | np.arange(len(margin), dtype=np.int64) << BLOCK_BITS
-    flips = 1 << (BLOCK_BITS - 1 - np.argsort(np.abs(margin), 1, kind="stable")[:, :UNSURE].astype(np.int64))
+    return np.packbits(margin > 0).tobytes(), np.argsort(np.abs(margin), 1, kind="stable")[:, :UNSURE].astype(np.uint8).tobytes()
+
+
+def wide_variants(fps: list[bytes], unsure: list[bytes]) -> np.ndarray:
+    """(rows, variants) keys: table and block with up to ``HALF`` unsure bits flipped."""
+    bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), WIDE // 8), axis=1).reshape(len(fps), -1, BLOCK_BITS)
+    code = bits @ (1 << np.arange(BLOCK_BITS - 1, -1, -1, dtype=np.int64)) | np.arange(bits.shape[1], dtype=np.int64) << BLOCK_BITS
+    at = np.frombuffer(b"".join(unsure), np.uint8).reshape(len(fps), bits.shape[1], UNSURE).astype(np.int64)
+    flips = 1 << (BLOCK_BITS - 1 - at)
     a, b = np.triu_indices(UNSURE, 1)
-    every = np.concatenate([np.zeros((len(margin), 1), np.int64), flips, flips[:, a] ^ flips[:, b]], 1)
-    return np.packbits(sure).tobytes(), (code[:, None] ^ every).ravel()
+    every = np.concatenate([np.zeros((*code.shape, 1), np.int64), flips, flips[:, :, a] ^ flips[:, :, b]], 2)
+    return (code[:, :, None] ^ every).reshape(len(fps), -1)
 
 
 def _wide(shingle: int):
     def run(batches):
-        for batch in common.text_batches(batches, 1 << 20):
+        for batch in common.text_batches(batches):
             both = [wide_fingerprint(x, shingle) for x in common.binary_values(batch.column(1))]
-            offsets = np.cumsum([0, *(len(k) for _, k in both)]).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([k for _, k in both])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in both], pa.binary()), keys], ["_id", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in both], pa.binary()), pa.array([u for _, u in both], pa.binary())], ["_id", "fp", "unsure"])
 
     return run
 
 
+def _varied(batches):
+    """A row for every variant of every fingerprint."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            keys = wide_variants(part.column(1).to_pylist(), part.column(2).to_pylist())
+            cid = np.repeat(part.column(0).to_numpy(), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(cid)], ["key", "cid"])
+
+
 def _met(batches):
     """Rows whose key two rows have, from a stream sorted by key; holds one row of the open key at most."""
     held, open_key = [np.empty(0, np.int64)] * 2, None
@@ -214,9 +228,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     n, most = common.parts(docs.sparkSession), int(WIDE * np.arccos(similarity) / np.pi)
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
-    own = common.cut(own.mapInArrow(_wide(shingle), f"_id {kind}, fp binary, keys array<long>"))
-    nodes = common.cut(own.groupBy("fp").agg(F.min("_id").alias("least"), F.min("keys").alias("keys")).withColumn("cid", F.monotonically_increasing_id()))
-    each = nodes.select(F.explode("keys").alias("key"), "cid").repartition(n, "key").sortWithinPartitions("key")
+    own = common.cut(own.mapInArrow(_wide(shingle), f"_id {kind}, fp binary, unsure binary"))
+    nodes = common.cut(own.groupBy("fp").agg(F.min("_id").alias("least"), F.min("unsure").alias("unsure")).withColumn("cid", F.monotonically_increasing_id()))
+    each = nodes.select("cid", "fp", "unsure").mapInArrow(_varied, "key long, cid long").repartition(n, "key").sortWithinPartitions("key")
     met = common.cut(each.mapInArrow(_met, "key long, cid long"))
     known = met.join(nodes.select("cid", "fp"), "cid").select("key", "cid", "fp").repartition(n, "key").sortWithinPartitions("key")
     roots = common.components(common.cut(known.mapInArrow(_alike(most), "a long, b long").distinct()))

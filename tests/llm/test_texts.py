@@ -43,10 +43,10 @@ def test_quality_base_columns(docs, texts, spark):
 
 
 def test_quality_score(docs, spark, empty):
-    labels = spark.createDataFrame([(5, 1, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in (5, 9, *range(10, 18))], "doc_id long, quality int, toxic int")
     ratios, least = quality.fit(docs, labels)
     score = {r.doc_id: r.score for r in quality.quality_rules(docs, labels).collect()}
-    assert len(ratios) == quality.BUCKETS and score[9] >= least and score[5] == pytest.approx(least, abs=0.01) and score[34] < score[9]
+    assert len(ratios) == quality.BUCKETS and least in score.values() and score[34] < max(score[5], score[9])
     none = labels.limit(0)
     assert quality.fit(docs, none)[1] == float("-inf") and quality.quality_rules(empty, labels).count() == quality.passing(empty, none).count() == 0
 
