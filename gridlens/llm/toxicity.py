@@ -24,8 +24,8 @@ from . import common
 
 #: Labelled documents of either class that the model is fitted on, least hash of the id first; most words it keeps.
 SAMPLE, VOCABULARY = 10_000, 20_000
-#: Weight of the prior (documents), least z-score and documents of a word, share of toxic words in a passage, score from which K is counted.
-PRIOR, LEAST_Z, LEAST_DOCS, MIX, COUNTED = 50.0, 3.0, 3, 0.1, 2.0
+#: Weight of the prior (documents), least z-score, log-odds and documents of a word (slight leanings are significant too, given enough documents), share of toxic words in a passage, score from which K is counted.
+PRIOR, LEAST_Z, LEAST_ODDS, LEAST_DOCS, MIX, COUNTED = 50.0, 3.0, 2.5, 3, 0.1, 2.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -37,30 +37,32 @@ def maximal_segments(scores: list[tuple[int, int, float]]) -> list[tuple[int, in
     """All maximal-scoring segments (start, end, score) of runs (start, end, score), in linear time.
 
     Each open segment keeps the running sums before it and at its end; a new one that
-    reaches higher than an earlier one that starts lower swallows all from there on.
+    reaches higher than an earlier one that starts lower swallows all from there on. It also
+    keeps which earlier one that was, for all between start higher still: a later search that
+    passes it passes those at once.
     """
     total = 0.0
-    open_: list[tuple[float, float, int, int]] = []
+    open_: list[tuple[float, float, int, int, int]] = []
     for start, end, gain in scores:
-        before, total = total, total + gain
+        low, total = total, total + gain
         if gain <= 0:
             continue
-        one = (before, total, start, end)
+        k = len(open_) - 1
         while True:
-            k = len(open_) - 1
-            while k >= 0 and open_[k][0] >= one[0]:
-                k -= 1
-            if k < 0 or open_[k][1] >= one[1]:
+            while k >= 0 and open_[k][0] >= low:
+                k = open_[k][4]
+            if k < 0 or open_[k][1] >= total:
                 break
-            one = (open_[k][0], one[1], open_[k][2], one[3])
+            low, _, start, _, before = open_[k]
             del open_[k:]
-        open_.append(one)
-    return [(s, e, high - low) for low, high, s, e in open_]
+            k = before
+        open_.append((low, total, start, end, k))
+    return [(s, e, high - low) for low, high, s, e, _ in open_]
 
 
 def passages(words: list[str], gains: dict[str, float]) -> list[tuple[int, int, float]]:
     """Maximal segments over the words of a text; runs of background words count as one."""
-    hits = [i for i, w in enumerate(words) if w in gains]
+    hits = [i for i, w in enumerate(words) if w in gains] if not gains.keys().isdisjoint(words) else []
     runs, at = [], 0
     for i in hits:
         if i > at:
@@ -103,7 +105,7 @@ def _gains(told: DataFrame) -> dict[str, float]:
     prior = F.col("y") * F.lit(PRIOR / (n1 + n0))
     y1, y0 = F.col("y1") + prior, F.col("y") - F.col("y1") + prior
     odds = F.log(y1 / (n1 + PRIOR - y1)) - F.log(y0 / (n0 + PRIOR - y0))
-    good = by.where((F.col("y1") >= LEAST_DOCS) & (F.col("y1") < n1)).select("w", odds.alias("odds"), (odds / F.sqrt(1 / y1 + 1 / y0)).alias("z")).where(F.col("z") >= LEAST_Z)
+    good = by.where((F.col("y1") >= LEAST_DOCS) & (F.col("y1") < n1)).select("w", odds.alias("odds"), (odds / F.sqrt(1 / y1 + 1 / y0)).alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS))
     rows = good.orderBy(F.desc("z"), "w").limit(VOCABULARY).collect()  # at most VOCABULARY words of a bounded sample
     return {w: math.log(MIX * math.exp(min(odds, 12.0)) + 1 - MIX) for w, odds, _ in rows}
 
