@@ -8,6 +8,8 @@ is common to both. Fingerprints meet on (blocks kept, variant) and are verified
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -124,70 +126,92 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(label, "fp").select(F.col("_id").alias(id_col), hexed, "component_id")
 
 
-# Wide fingerprints: the same search for a similarity rather than a fixed number of bits.
+# Similar texts: an exact join on the Jaccard similarity of shingle sets, by prefix filtering.
 
-#: Bits of a wide fingerprint, of a table's block; in a block, the least certain bits that vary, and how many at once (half the radius).
-WIDE, BLOCK_BITS, UNSURE, HALF = 256, 32, 10, 2
 SIMILARITY = 0.8
+#: Documents (about) whose shingles set the order, least times one occurs among them to count as common, most common ones. All links are found
+#: in any order; this one keeps common passages out of the prefixes.
+SAMPLE, OFTEN, COMMON = 10_000, 3, 200_000
+#: Rows of a run of equal shingles that are compared with all its others first.
+HUBS = 8
+#: Pairs held at a time; longest run whose pairs are found by shifting.
+PAIRS, SHORT = 1 << 18, 32
 
 
-def wide_fingerprint(data: bytes, shingle: int) -> tuple[bytes, bytes]:
-    """Fingerprint of ``WIDE`` bits and, of each block, its ``UNSURE`` least certain bits, a byte each.
-
-    A bit is unsure if its votes nearly balance; those are the ones that small edits flip.
-    """
+def shingle_set(data: bytes, shingle: int) -> np.ndarray:
+    """Sorted hashes (64 bits) of the different shingles of UTF-8 bytes; none without words."""
     words = data.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
     flat = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1)) if words else ends
-    width = max(1, min(shingle, len(words)))
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    width = min(shingle, len(words))
     starts, ends = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
-    digest, counts = xxhash.xxh3_128_digest, np.zeros(WIDE, np.int64)
-    for at in range(0, len(starts), STEP):
-        some = [flat[a:b] for a, b in zip(starts[at : at + STEP], ends[at : at + STEP])]
-        raw = b"".join([digest(s, SEED) + digest(s, SEED + 1) for s in some])
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, WIDE // 8), axis=1)
-        for k in range(0, len(bits), 255):  # 255 ones fit a byte
-            counts += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
-    margin = (2 * counts - len(starts)).reshape(-1, BLOCK_BITS)
-    return np.packbits(margin > 0).tobytes(), np.argsort(np.abs(margin), 1, kind="stable")[:, :UNSURE].astype(np.uint8).tobytes()
-
-
-def wide_variants(fps: list[bytes], unsure: list[bytes]) -> np.ndarray:
-    """(rows, variants) keys: table and block with up to ``HALF`` unsure bits flipped."""
-    bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), WIDE // 8), axis=1).reshape(len(fps), -1, BLOCK_BITS)
-    code = bits @ (1 << np.arange(BLOCK_BITS - 1, -1, -1, dtype=np.int64)) | np.arange(bits.shape[1], dtype=np.int64) << BLOCK_BITS
-    at = np.frombuffer(b"".join(unsure), np.uint8).reshape(len(fps), bits.shape[1], UNSURE).astype(np.int64)
-    flips = 1 << (BLOCK_BITS - 1 - at)
-    a, b = np.triu_indices(UNSURE, 1)
-    every = np.concatenate([np.zeros((*code.shape, 1), np.int64), flips, flips[:, :, a] ^ flips[:, :, b]], 2)
-    return (code[:, :, None] ^ every).reshape(len(fps), -1)
-
-
-def _wide(shingle: int):
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.fromiter((digest(flat[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(starts)))
+
+
+def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that are common in a sample of ``texts`` (_id, _t), sorted, and how often each occurs there."""
+    step = max(1, texts.count() // SAMPLE)
+
     def run(batches):
         for batch in common.text_batches(batches):
-            both = [wide_fingerprint(x, shingle) for x in common.binary_values(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in both], pa.binary()), pa.array([u for _, u in both], pa.binary())], ["_id", "fp", "unsure"])
+            for x in common.binary_values(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x, shingle).view(np.int64))], ["h"])
+
+    each = texts.where(F.pmod(F.xxhash64("_id"), F.lit(step)) == 0).mapInArrow(run, "h long")
+    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    rows = often.orderBy(F.desc("n"), "h").limit(COMMON).collect()  # COMMON rows at most
+    h, n = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _ordered(shingle: int, often: np.ndarray, times: np.ndarray):
+    """(_id, mark, shingles): a digest of each shingle set, and its hashes from the least to the most common."""
+
+    def one(x: bytes) -> tuple[bytes, bytes]:
+        own = shingle_set(x, shingle)
+        mark = xxhash.xxh3_128_digest(own.tobytes())
+        if len(often) and len(own):
+            at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+            own = own[np.argsort(np.where(often[at] == own, times[at], 0), kind="stable")]
+        return mark, own.tobytes()
+
+    def run(batches):
+        for batch in common.text_batches(batches, 1 << 20):
+            both = [one(x) for x in common.binary_values(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m for m, _ in both], pa.binary()), pa.array([s for _, s in both], pa.binary())], ["_id", "mark", "shingles"])
 
     return run
 
 
-def _varied(batches):
-    """A row for every variant of every fingerprint."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            keys = wide_variants(part.column(1).to_pylist(), part.column(2).to_pylist())
-            cid = np.repeat(part.column(0).to_numpy(), keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(cid)], ["key", "cid"])
+def _prefixes(share: Fraction):
+    """(key, cid, n, at): the first shingles of each set, of which sets that are similar enough have one in common."""
+
+    def run(batches):
+        for batch in common.text_batches(batches):
+            sets = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            sizes = np.array([len(s) for s in sets], np.int64)
+            most = np.where(sizes > 0, sizes + share.numerator * sizes // -share.denominator + 1, 0)
+            if most.sum():
+                key = np.concatenate([s[:m] for s, m in zip(sets, most.tolist())])
+                at = np.concatenate([np.arange(m) for m in most.tolist()])
+                cid = np.repeat(batch.column(0).to_numpy(), most)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, cid, np.repeat(sizes, most).astype(np.int32), at.astype(np.int32))], ["key", "cid", "n", "at"])
+
+    return run
 
 
 def _met(batches):
     """Rows whose key two rows have, from a stream sorted by key; holds one row of the open key at most."""
-    held, open_key = [np.empty(0, np.int64)] * 2, None
+    held, open_key = None, None
     for batch in batches:
-        key, cid = (np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch.columns))
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        now = [np.concatenate(x) for x in zip(held, now)] if held else now
+        key = now[0]
         if not len(key):
             continue
         starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
@@ -195,48 +219,129 @@ def _met(batches):
         both = (size > 1) | (key[starts] == open_key if open_key is not None else False)
         open_key, end = (key[-1], len(key)) if both[-1] else (None, int(starts[-1]))
         keep = np.repeat(both, size)[:end]
-        held = [key[end:], cid[end:]]
-        yield pa.RecordBatch.from_arrays([pa.array(key[:end][keep]), pa.array(cid[:end][keep])], ["key", "cid"])
+        held = [x[end:] for x in now]
+        yield pa.RecordBatch.from_arrays([pa.array(x[:end][keep]) for x in now], batch.schema.names)
 
 
-def _alike(most: int):
-    """Spanning links, at most ``most`` bits apart, of each run of equal keys."""
+def _fit(share: Fraction, n: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Can rows ``a`` and ``b`` be similar enough, if this is the first shingle that both have?"""
+    low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+    shared = np.minimum(n[a] - at[a], n[b] - at[b])
+    return (share.denominator * low >= share.numerator * high) & (shared * (share.numerator + share.denominator) >= share.numerator * (low + high))
+
+
+def _runs(table: pa.Table):
+    key = table["key"].to_numpy()
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
+    n, at = (table[c].to_numpy().astype(np.int64) for c in ("n", "at"))
+    return starts, np.diff(np.append(starts, len(key))), table["cid"].to_numpy(), n, at
+
+
+def _stars(share: Fraction):
+    """Pairs of each run's first ``HUBS`` rows with those after them."""
 
     def run(batches):
         for table in common.sorted_runs(batches, ["key"]):
-            key, cid = table["key"].to_numpy(), table["cid"].to_numpy()
-            fps = np.frombuffer(b"".join(table["fp"].to_pylist()), np.uint64).reshape(len(key), -1)
-            edge = np.flatnonzero(np.diff(key)) + 1
-            found = []
-            for s, e in zip(np.concatenate(([0], edge)), np.concatenate((edge, [len(key)]))):
-                own = fps[s:e]
-                near = lambda a, rest, own=own: np.bitwise_count(own[rest] ^ own[a]).sum(1) <= most
-                found += [(s + i, s + j) for i, j in common.forest(near, e - s)]
-            if found:
-                pairs = np.unique(np.sort(cid[np.array(found)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            starts, size, cid, n, at = _runs(table)
+            first, rows, found = np.repeat(starts, size), np.arange(len(cid)), []
+            for d in range(HUBS):
+                b = rows[rows > first + d]
+                a = first[b] + d
+                fit = _fit(share, n, at, a, b)
+                found.append(np.stack([cid[a[fit]], cid[b[fit]]], 1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
 
 
+def _rest(share: Fraction):
+    """All other pairs of each run whose rows aren't in one component (``root``) yet."""
+
+    def some(table):
+        starts, size, cid, n, at = _runs(table)
+        root, first = table["root"].to_numpy(), np.repeat(starts, size)
+        length = np.repeat(size, size)
+        fit = lambda a, b: (a >= first[a] + HUBS) & (root[a] != root[b]) & _fit(share, n, at, a, b)
+        for d in range(1, SHORT):
+            a = np.flatnonzero(length <= SHORT)
+            a = a[a + d < first[a] + length[a]]
+            a = a[fit(a, a + d)]
+            yield cid[a], cid[a + d]
+        for s, e in zip(starts[size > SHORT], (starts + size)[size > SHORT]):
+            for i in range(s + HUBS, e if (root[s:e] != root[s]).any() else s):
+                b = np.arange(i + 1, e)
+                b = b[fit(np.full(len(b), i), b)]
+                yield np.full(len(b), cid[i]), cid[b]
+
+    def batch(held):
+        pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*held)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def run(batches):
+        for table in common.sorted_runs(batches, ["key"]):
+            held, many = [], 0
+            for pair in some(table):
+                held, many = [*held, pair] if len(pair[0]) else held, many + len(pair[0])
+                if many > PAIRS:
+                    yield batch(held)
+                    held, many = [], 0
+            if held:
+                yield batch(held)
+
+    return run
+
+
+def _linked(share: Fraction):
+    """The pairs whose sets are similar enough."""
+
+    def near(x: bytes, y: bytes) -> bool:
+        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        both = np.sort(np.concatenate((a, b)))
+        shared = int(np.count_nonzero(both[1:] == both[:-1]))
+        return share.denominator * shared >= share.numerator * (len(both) - shared)
+
+    def run(batches):
+        for whole in batches:
+            for batch in common.text_batches([whole]):
+                yield batch.select(["a", "b"]).filter(pa.array([near(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_()))
+
+    return run
+
+
+def _verified_pairs(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets (cid, shingles) have a Jaccard similarity of ``share`` or more."""
+    second = pairs.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("t")), "b")
+    both = second.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("s")), "a")
+    return common.cut(both.select("a", "b", "s", "t").mapInArrow(_linked(share), "a long, b long"))
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per input row: id_col, component_id, linking texts whose cosine over shingles, as the wide fingerprint tells it, is ``similarity`` or more.
+    """One row per input row: id_col, component_id, linking texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Texts meet on the variants of their blocks that flip their least certain bits; found pairs
-    are verified on all ``WIDE`` bits. Null, blank and repeated rows are as in :func:`near_duplicates`.
+    Exact but for collisions of 64-bit hashes: similar sets have one of their first shingles in
+    common, in any order of all shingles, and meet there. A few sets of each run are compared with
+    the others; then all pairs that are not in one component by that. Null, blank and repeated
+    rows are as in :func:`near_duplicates`; texts without words link with each other alone.
     """
-    n, most = common.parts(docs.sparkSession), int(WIDE * np.arccos(similarity) / np.pi)
+    n, share = common.parts(docs.sparkSession), Fraction(str(similarity))
     kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
-    own = common.cut(own.mapInArrow(_wide(shingle), f"_id {kind}, fp binary, unsure binary"))
-    nodes = common.cut(own.groupBy("fp").agg(F.min("_id").alias("least"), F.min("unsure").alias("unsure")).withColumn("cid", F.monotonically_increasing_id()))
-    each = nodes.select("cid", "fp", "unsure").mapInArrow(_varied, "key long, cid long").repartition(n, "key").sortWithinPartitions("key")
-    met = common.cut(each.mapInArrow(_met, "key long, cid long"))
-    known = met.join(nodes.select("cid", "fp"), "cid").select("key", "cid", "fp").repartition(n, "key").sortWithinPartitions("key")
-    roots = common.components(common.cut(known.mapInArrow(_alike(most), "a long, b long").distinct()))
-    label = nodes.select("fp", "least", "cid").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
+    own = texts.mapInArrow(_ordered(shingle, *_common(texts, shingle)), f"_id {kind}, mark binary, shingles binary")
+    own = common.cut(own.withColumn("row", F.monotonically_increasing_id()))
+    nodes = common.cut(own.groupBy("mark").agg(F.min("_id").alias("least"), F.min("row").alias("cid")))
+    sets = own.join(nodes.select("cid"), F.col("row") == F.col("cid"), "left_semi").select(F.col("row").alias("cid"), "shingles")
+    each = sets.mapInArrow(_prefixes(share), "key long, cid long, n int, at int").repartition(n, "key").sortWithinPartitions("key", F.xxhash64("cid"), "cid")
+    met = common.cut(each.mapInArrow(_met, "key long, cid long, n int, at int"))
+    stars = _verified_pairs(common.cut(met.mapInArrow(_stars(share), "a long, b long").distinct()), sets, share)
+    roots = common.components(stars)
+    known = met.join(roots, F.col("cid") == F.col("node"), "left").select("key", "cid", "n", "at", F.coalesce("root", "cid").alias("root"))
+    known = known.repartition(n, "key").sortWithinPartitions("key", F.xxhash64("cid"), "cid")
+    rest = _verified_pairs(common.cut(known.mapInArrow(_rest(share), "a long, b long").distinct()), sets, share)
+    roots = common.components(stars.union(rest))
+    label = nodes.join(roots, F.col("cid") == F.col("node"), "left").select("mark", "least", F.coalesce("root", "cid").alias("root"))
     top = label.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.select("_id", "fp").join(label.join(top, "root").select("fp", "component_id"), "fp").select(F.col("_id").alias(id_col), "component_id")
+    return own.select("_id", "mark").join(label.join(top, "root").select("mark", "component_id"), "mark").select(F.col("_id").alias(id_col), "component_id")
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:

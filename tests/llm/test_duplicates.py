@@ -80,6 +80,29 @@ def test_similar_texts_meet(spark, empty):
     assert simhash.similar(empty).count() == 0
 
 
+@pytest.mark.parametrize("hubs", [8, 1])
+def test_similar_is_exact_at_the_threshold(spark, monkeypatch, hubs):
+    monkeypatch.setattr(simhash, "HUBS", hubs)
+    monkeypatch.setattr(simhash, "SHORT", 32 if hubs == 8 else 2)
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    rows = []
+    for i in range(120):  # m shingles of 5 words are n - 4 words; k last words changed leave n - 4 - k shared
+        n, words = (44, 76, 184)[i % 3], []
+        words = [word() for _ in range(n)]
+        k = (n - 4) // 9 + (i % 2)  # Jaccard 0.8 or just below
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: n - k] + [word() for _ in range(k)]))]
+    shared = " ".join(word() for _ in range(30))
+    rows += [(1000 + i, " ".join([shared, *(word() for _ in range(20))])) for i in range(60)]
+    chain = [word() for _ in range(300)]
+    rows += [(2000 + i, " ".join(chain[i * 10 : i * 10 + 100])) for i in range(20)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    near = [(i, j) for j in range(len(rows)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = {rows[i][0]: rows[r][0] for i, r in enumerate(roots(len(rows), near))}
+    got = dict(map(tuple, simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == want and len(near) >= 60 and max(np.bincount(list(Counter(want.values()).values()))) > 1
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200), (None, 3)]
     got = dict(map(tuple, common.components(spark.createDataFrame(pairs, "a long, b long")).collect()))
