@@ -51,6 +51,18 @@ def test_quality_score(docs, spark, empty):
     assert quality.fit(docs, none)[1] == float("-inf") and quality.quality_rules(empty, labels).count() == quality.passing(empty, none).count() == 0
 
 
+def test_quality_threshold_is_that_of_documents_that_pass_the_base_rules(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(3, 8))) for _ in range(200)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    junk = lambda n: " ".join(f"{rng.choice('#*$%&|<>')}{rng.randint(0, 400)}" for _ in range(n))
+    rows = [(i, prose(150)) for i in range(200)] + [(1000 + i, junk(3)) for i in range(40)] + [(2000 + i, f"{prose(60)} {junk(90)}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 2000), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = quality.quality_rules(docs, labels).collect()
+    assert sum(r.kept for r in got if r.doc_id >= 2000) <= 2 and sum(r.kept for r in got if r.doc_id < 200) >= 195
+
+
 PERSONAL = [
     (1, "write to a.b@mail.example.com, or x@y.z@q.r or bad@x and _me@a.b.c"), (2, "hosts 10.0.0.256 1.2.3.4.5.6.7.8 010.001.1.1 9.9.9"), (3, "pay 4111 1111 1111 1111 or 4111-1111-1111-1112, 12345678901234567890123"),
     (4, "call +1 (415) 555-2671 or + 1234 or +12 or +1 23 456 78 90 12 34 56 78"), (5, 'token = "0cf1bbc67ab39b2ddebadc809bed189ed8c6ac4d" end'), (6, None), (7, ""), (8, "é@é.é 日本 u@v.w 😀 u@v.w +4912345678 😀"), (9, "nothing here"), (9, "nothing here"),
