@@ -131,6 +131,16 @@ def test_embeddings(spark, monkeypatch, block):
     assert embedding.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_embeddings_at_the_threshold_share_a_bucket():
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(2, 4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.95 * a + np.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    mine, theirs = embedding.buckets(a), embedding.buckets(b)
+    assert (mine[:, :, :, None] == theirs[:, :, None, :]).any((1, 2, 3)).all()
+
+
 @pytest.mark.parametrize("block", [4096, 2])
 def test_repeats(docs, texts, monkeypatch, block):
     monkeypatch.setattr(repeats, "BLOCK", block)
