@@ -31,16 +31,28 @@ PATTERNS = {
     "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{24,128}+(?![A-Za-z0-9_-])",
 }
 #: A part of an address from 0 to 255.
-OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-#: Format rule, gazetteer and context of each kind (patterns on the span, on the span, on the text before it).
+OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+#: Words before a span that speak for its kind.
+CONTEXTS = {
+    "email": "e-?mails?|mail|contact|write|reach|to|from|kontakt|schreiben|courriel|correo",
+    "ip": "ip|ipv4|host|hosts|server|address|addr|gateway|from|client|peer|adresse|rechner|serveur|servidor",
+    "card": "card|visa|mastercard|amex|pay|paid|payment|credit|debit|account|number|karte|kreditkarte|carte|tarjeta",
+    "phone": "tel|telephone|phone|call|calls|mobile|cell|fax|sms|whatsapp|telefon|mobil|anruf|portable|movil|llamar",
+    "secret": "token|key|apikey|api_key|secret|password|passwd|pwd|auth|bearer|credential|sha1|sha256|passwort|clave",
+}
+#: Public registries, as far as they are long established: top-level domains; country calling codes (E.164); first digits of payment card issuers (ISO/IEC 7812).
+DOMAINS = "com|org|net|edu|gov|mil|int|info|biz|name|pro|app|dev|io|ai|co|me|tv|eu|de|at|ch|fr|be|nl|lu|es|pt|it|uk|ie|us|ca|mx|br|ar|cl|pe|au|nz|jp|cn|kr|in|ru|ua|pl|cz|sk|hu|ro|bg|gr|tr|se|no|dk|fi|is|za|il|sg|hk|tw"
+CALLING = "1|7|2[07]|2[1-689][0-9]|3[0-469]|3[578][0-9]|4[013-9]|42[0-9]|5[1-8]|5[09][0-9]|6[0-6]|6[789][0-9]|8[1246]|8[0578][0-9]|9[0-58]|9[679][0-9]"
+ISSUERS = "4|5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|3[47]|30[0-59]|3[689]|35|6011|64[4-9]|65|62|50|5[6-9]"
+#: Format rule, gazetteer (patterns on the span) and words before it, by kind.
 LABELERS = {
-    "email": ("[A-Za-z]{2,24}$", r"\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk)$", r"(?i)(?:mail|contact|write|to)\W*$"),
-    "ip": (r"^[0-9]{1,3}\.", r"^(?!0|10\.|127\.|192\.168\.|22[4-9]\.|2[3-5][0-9]\.)", r"(?i)(?:ip|host|server|address|from)\W*$"),
-    "card": ("^[0-9]{16}$", "^(?:4|5[1-5]|3[47]|6011|65|35)", r"(?i)(?:card|visa|pay|credit|account)\W*$"),
-    "phone": (r"^\+[0-9]{1,3} ?\(?[0-9]", r"^\+(?:1|2[07]|3[0-9]|4[0-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])", r"(?i)(?:tel|phone|call|mobile|fax)\W*$"),
-    "number": ("^[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}$", "^(?:4|5[1-5]|3[47]|6011|65|35)", r"(?i)(?:card|visa|pay|credit|account)\W*$"),
-    "local_phone": (r"^\(?[2-9][0-9]{2}\)?.[2-9]", r"^\(?(?!555|800|900)[2-9][0-8][0-9]", r"(?i)(?:tel|phone|call|mobile|fax)\W*$"),
-    "secret": ("^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$", "^(?:sk|pk|gh[pousr]|AKIA|xox[bap])|^[0-9a-f]{40}$", r"(?i)(?:token|key|secret|password|auth)\W*$"),
+    "email": ("[A-Za-z]{2,24}$", rf"(?i)\.(?:{DOMAINS})$", CONTEXTS["email"]),
+    "ip": (r"^[0-9]{1,3}\.", r"^(?!0|10\.|127\.|169\.254\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|192\.168\.|22[4-9]\.|2[3-5][0-9]\.)", CONTEXTS["ip"]),
+    "card": ("^[0-9]{16}$", f"^(?:{ISSUERS})", CONTEXTS["card"]),
+    "phone": (r"^\+[0-9]{1,3} ?\(?[0-9]", rf"^\+(?:{CALLING})", CONTEXTS["phone"]),
+    "number": ("^[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}$", f"^(?:{ISSUERS})", CONTEXTS["card"]),
+    "local_phone": (r"^\(?[2-9][0-9]{2}\)?.[2-9]", r"^\(?(?!555|800|888|877|866|900)[2-9][0-8][0-9]", CONTEXTS["phone"]),
+    "secret": ("^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$", "^(?:sk|pk|rk|gh[pousr]|glpat|AKIA|ASIA|AIza|eyJ|xox[abpr]|npm)|^[0-9a-f]{40}$", CONTEXTS["secret"]),
 }
 #: Characters of context before a span; matches located at a time.
 CONTEXT, BLOCK = 24, 256
@@ -94,7 +106,8 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _described(kind: str) -> Column:
     """Spans with their votes (-1, 0, 1 as digits 0 to 2) and features in place of their texts."""
-    form, names, before = map(_q, LABELERS[kind])
+    form, names, words = LABELERS[kind]
+    form, names, before = map(_q, (form, names, rf"(?i)(?<![a-z])(?:{words})\W*$"))
     votes = f"""concat(CASE WHEN x.m RLIKE {form} THEN '2' ELSE '0' END, CASE WHEN x.m RLIKE {names} THEN '2' ELSE '0' END,
         CASE WHEN x.c RLIKE {before} THEN '2' WHEN length(x.c) < 4 THEN '1' ELSE '0' END)"""
     return F.expr(f"""transform({kind}, x -> struct(x.s AS s, x.e AS e, {votes} AS v,

@@ -68,6 +68,10 @@ PERSONAL = [
     (4, "call +1 (415) 555-2671 or + 1234 or +12 or +1 23 456 78 90 12 34 56 78"), (5, 'token = "0cf1bbc67ab39b2ddebadc809bed189ed8c6ac4d" end'), (6, None), (7, ""), (8, "é@é.é 日本 u@v.w 😀 u@v.w +4912345678 😀"), (9, "nothing here"), (9, "nothing here"),
     (10, " ".join(f"n{i}@mail{i}.org" for i in range(700))), (11, "1" * 5000 + " a" * 3000), (12, "4111111111111111"),
 ]
+#: Every part of an address once with zeros, at its limit and beyond it.
+PARTS = ["0", "00", "000", "09", "99", "255", "256", "0255", "0256", "1000"]
+PERSONAL += [(100 + 10 * k + i, "host " + ".".join(p if j == k else str(x) for j, x in enumerate((10, 0, 255, 7))) + " up") for k in range(4) for i, p in enumerate(PARTS)]
+PERSONAL += [(13, "host 10.0.0.1 and 8.8.8.8 up; 0.0.0.0, 192.168.0.5.1 00000000000000000000000000.0.0.00000256")]
 PERSONAL += [(20 + i, f'token = "{hashlib.sha1(bytes([i])).hexdigest()}" end') for i in range(12)]
 
 
@@ -100,9 +104,10 @@ def test_personal_data(spark, tmp_path):
     for r in rows:
         base = {f"{k}:{s}:{e}" for k, s, e in base_spans(dict(PERSONAL)[r.doc_id])}
         assert base <= set(r.spans.split(",")) | {""}
-    assert all("secret:9:49" in r.spans for r in rows if r.doc_id == 5 or r.doc_id >= 20)
+    assert all("secret:9:49" in r.spans for r in rows if r.doc_id == 5 or 20 <= r.doc_id < 32)
     clean = {r.doc_id: r.text for r in pii.redact(frame).collect()}
     assert clean[8] == "é@é.é 日本 <email> 😀 <email> <phone> 😀" and clean[6] is None and clean[9] == "nothing here" and clean[12] == "<card>"
+    assert clean[13] == "host <ip> and <ip> up; <ip>, <ip>.1 00000000000000000000000000.0.0.00000256"
     assert pii.redact(frame).columns == frame.columns and pii.redact(frame.limit(0)).count() == 0
 
 
