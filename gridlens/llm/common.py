@@ -90,18 +90,24 @@ def sorted_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[
         yield pa.Table.from_batches(held)
 
 
-def forest(linked, n: int) -> list[tuple[int, int]]:
-    """Spanning edges of the graph on ``0..n-1``; ``linked(i, others)`` masks the neighbours of i among others."""
-    rest, edges = np.arange(n), []
+def forest(linked, labels: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that tie together the rows of a graph which have different ``labels``; rows of one label count as tied.
+
+    ``linked(i, others)`` masks the neighbours of i among others. Rows that are tied already are not compared again.
+    """
+    rest, edges = np.arange(len(labels)), []
     while len(rest):
-        queue, rest = [int(rest[0])], rest[1:]
+        own = labels[rest] == labels[rest[0]]
+        queue, rest = rest[own].tolist(), rest[~own]
         while queue and len(rest):
             i = queue.pop()
-            hit = linked(i, rest)
-            found = rest[hit]
-            edges += [(i, int(j)) for j in found]
-            queue += found.tolist()
-            rest = rest[~hit]
+            found = rest[linked(i, rest)]
+            if len(found):
+                new, at = np.unique(labels[found], return_index=True)
+                edges += [(i, int(j)) for j in found[at]]
+                own = np.isin(labels[rest], new)
+                queue += rest[own].tolist()
+                rest = rest[~own]
     return edges
 
 

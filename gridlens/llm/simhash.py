@@ -4,6 +4,8 @@ Two fingerprints within three bits leave one of three bit blocks in which they d
 least once (or they are closer still), so on the other two blocks they are within two
 bits. There both emit every variant within one bit, half that radius; at least one variant
 is common to both. Fingerprints meet on (blocks kept, variant) and are verified in full.
+:func:`near_duplicates` links fingerprints; :func:`similar` links texts, by the Jaccard
+similarity of their shingles, with ball hashing as the first search for pairs.
 """
 
 from __future__ import annotations
@@ -27,22 +29,32 @@ STEP = 50_000
 SHIFTS = 8
 
 
-def fingerprint(data: bytes, shingle: int) -> int:
-    """Unsigned fingerprint of UTF-8 bytes; zero without words."""
+def hashes(data: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle of UTF-8 bytes, in order and with repeats; none without words."""
     words = data.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     flat = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(shingle, len(words))
     starts, ends = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
-    digest, counts = xxhash.xxh64_digest, np.zeros(64, np.int64)
-    for at in range(0, len(starts), STEP):
-        raw = b"".join([digest(flat[a:b], SEED) for a, b in zip(starts[at : at + STEP], ends[at : at + STEP])])
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(counts * 2 > len(starts)).tobytes(), "big")
+    digest = xxhash.xxh64_digest
+    raw = b"".join([digest(flat[a:b], SEED) for a, b in zip(starts, ends)])
+    return np.frombuffer(raw, ">u8")
+
+
+def voted(own: np.ndarray) -> int:
+    """Unsigned fingerprint: the bits set in over half of ``own`` (big-endian), zero if that is empty."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(own), STEP):
+        counts += np.unpackbits(own[at : at + STEP].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(counts * 2 > len(own)).tobytes(), "big")
+
+
+def fingerprint(data: bytes, shingle: int) -> int:
+    """Unsigned fingerprint of UTF-8 bytes; zero without words."""
+    return voted(hashes(data, shingle)) if data else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -57,41 +69,44 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, F.col(text_col).cast("string").alias("_t")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
 
 
-def _balls() -> list[tuple[int, int]]:
-    """(bits kept, bits flipped) of every variant, as signed longs."""
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _balls(radius: int) -> list[tuple[int, int]]:
+    """(bits kept, bits flipped) of every variant within ``radius`` (0 or 1), as signed longs."""
     out = []
     for low, high in BLOCKS:
         keep = ~(((1 << high) - 1) ^ ((1 << low) - 1)) & ((1 << 64) - 1)
-        flips = [0, *(1 << b for b in range(64) if keep >> b & 1)]
-        out += [(signed(keep), signed(f)) for f in flips]
+        flips = [0, *(1 << b for b in range(64) if keep >> b & 1 and radius)]
+        out += [(_signed(keep), _signed(f)) for f in flips]
     return out
 
 
-def variants(fps: DataFrame) -> DataFrame:
-    """(key, fp): every variant of every distinct fingerprint."""
-    ball = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(f).cast("long").alias("f")) for k, f in _balls()])
-    each = fps.select("fp", F.explode(ball).alias("b"))
+def variants(fps: DataFrame, radius: int = 1) -> DataFrame:
+    """(key, fp, label): every variant of every distinct fingerprint."""
+    ball = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(f).cast("long").alias("f")) for k, f in _balls(radius)])
+    each = fps.select("fp", "label", F.explode(ball).alias("b"))
     # The bits left out hold a mark of the block, so that the three families seldom share a key.
-    return each.select(F.expr("((fp & b.k) ^ b.f) | (~b.k & 6148914691236517205)").alias("key"), "fp")
+    return each.select(F.expr("((fp & b.k) ^ b.f) | (~b.k & 6148914691236517205)").alias("key"), "fp", "label")
 
 
 def _verified(batches):
-    """Spanning links of each run of equal keys."""
+    """Links of each run of equal keys that tie together fingerprints of different labels."""
     for table in common.sorted_runs(batches, ["key"]):
-        key, fp = table["key"].to_numpy(), table["fp"].to_numpy()
+        key, fp, label = (table[c].to_numpy() for c in ("key", "fp", "label"))
         edge = np.flatnonzero(np.diff(key)) + 1
         starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [len(key)]))
         size = np.repeat(ends - starts, ends - starts)
         pairs = []
         for d in range(1, SHIFTS):
-            at = np.flatnonzero((key[d:] == key[:-d]) & (size[d:] <= SHIFTS)) if len(key) > d else np.empty(0, int)
+            at = np.flatnonzero((key[d:] == key[:-d]) & (label[d:] != label[:-d]) & (size[d:] <= SHIFTS)) if len(key) > d else np.empty(0, int)
             at = at[np.bitwise_count((fp[at] ^ fp[at + d]).view(np.uint64)) <= RADIUS]
             pairs.append(np.stack([fp[at], fp[at + d]], 1))
         for i in np.flatnonzero(ends - starts > SHIFTS):
             own = fp[starts[i] : ends[i]]
             near = lambda a, rest, own=own: np.bitwise_count((own[rest] ^ own[a]).view(np.uint64)) <= RADIUS
-            found = common.forest(near, len(own))
+            found = common.forest(near, label[starts[i] : ends[i]])
             if found:
                 pairs.append(own[np.array(found)])
         both = np.concatenate(pairs)
@@ -100,11 +115,21 @@ def _verified(batches):
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
 
+def _met(labelled: DataFrame, radius: int) -> DataFrame:
+    each = variants(labelled, radius).repartition(common.parts(labelled.sparkSession), "key").sortWithinPartitions("key", "fp")
+    return common.cut(each.mapInArrow(_verified, "a long, b long").distinct())
+
+
 def links(fps: DataFrame) -> DataFrame:
-    """(a, b): links between different fingerprints that span the same components as all links."""
-    spark = fps.sparkSession
-    each = variants(fps).repartition(common.parts(spark), "key").sortWithinPartitions("key")
-    return each.mapInArrow(_verified, "a long, b long").distinct()
+    """(a, b): links between different fingerprints ``fp`` that span the same components as all links.
+
+    In a group of near copies every variant would give a spanning tree of its own. So fingerprints
+    that agree on two blocks meet first; then all variants do, and only links between
+    different components are told.
+    """
+    first = _met(fps.select("fp", F.col("fp").alias("label")), 0)
+    roots = common.components(first)
+    return first.union(_met(fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("label")), 1))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -126,7 +151,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(label, "fp").select(F.col("_id").alias(id_col), hexed, "component_id")
 
 
-# Similar texts: an exact join on the Jaccard similarity of shingle sets, by prefix filtering.
+# Similar texts: candidates by ball hashing, closed by prefix filtering, all verified on their shingles.
 
 SIMILARITY = 0.8
 #: Documents (about) whose shingles set the order, least times one occurs among them to count as common, most common ones. All links are found
@@ -136,20 +161,8 @@ SAMPLE, OFTEN, COMMON = 10_000, 3, 200_000
 HUBS = 8
 #: Pairs held at a time; longest run whose pairs are found by shifting.
 PAIRS, SHORT = 1 << 18, 32
-
-
-def shingle_set(data: bytes, shingle: int) -> np.ndarray:
-    """Sorted hashes (64 bits) of the different shingles of UTF-8 bytes; none without words."""
-    words = data.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    flat = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    width = min(shingle, len(words))
-    starts, ends = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
-    digest = xxhash.xxh3_64_intdigest
-    return np.unique(np.fromiter((digest(flat[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(starts)))
+#: Most texts to verify whose ids are broadcast (24 bytes each); beyond, they are joined by shuffling.
+NAMED = 1_000_000
 
 
 def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,10 +171,10 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches):
         for batch in common.text_batches(batches):
-            for x in common.binary_values(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x, shingle).view(np.int64))], ["h"])
+            for x in common.binary_values(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes(x, shingle)).astype(np.uint64).view(np.int64))], ["h"])
 
-    each = texts.where(F.pmod(F.xxhash64("_id"), F.lit(step)) == 0).mapInArrow(run, "h long")
+    each = texts.where(F.pmod(F.xxhash64("_id"), F.lit(step)) == 0).select("_t").mapInArrow(run, "h long")
     often = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
     rows = often.orderBy(F.desc("n"), "h").limit(COMMON).collect()  # COMMON rows at most
     h, n = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
@@ -169,43 +182,41 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def _ordered(shingle: int, often: np.ndarray, times: np.ndarray):
-    """(_id, mark, shingles): a digest of each shingle set, and its hashes from the least to the most common."""
+def _described(shingle: int, share: Fraction, often: np.ndarray, times: np.ndarray):
+    """Of each text (_id, h, _t): fingerprint, digest and size of its shingle set, and the first shingles, from the least to the most common.
+
+    Sets that are similar enough have one of these in common, whatever the order.
+    """
 
-    def one(x: bytes) -> tuple[bytes, bytes]:
-        own = shingle_set(x, shingle)
-        mark = xxhash.xxh3_128_digest(own.tobytes())
-        if len(often) and len(own):
+    def one(x: bytes) -> tuple[int, bytes, int, bytes]:
+        every = hashes(x, shingle)
+        own = np.unique(every).astype(np.uint64)
+        n, mark = len(own), xxhash.xxh3_128_digest(own.tobytes())
+        if len(often) and n:
             at = np.minimum(np.searchsorted(often, own), len(often) - 1)
             own = own[np.argsort(np.where(often[at] == own, times[at], 0), kind="stable")]
-        return mark, own.tobytes()
+        return _signed(voted(every)), mark, n, own[: n - -(-share.numerator * n // share.denominator) + 1 if n else 0].tobytes()
 
     def run(batches):
         for batch in common.text_batches(batches, 1 << 20):
-            both = [one(x) for x in common.binary_values(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m for m, _ in both], pa.binary()), pa.array([s for _, s in both], pa.binary())], ["_id", "mark", "shingles"])
+            fp, mark, n, first = zip(*[one(x) for x in common.binary_values(batch.column(2))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(mark, pa.binary()), pa.array(n, pa.int32()), pa.array(first, pa.binary())], ["_id", "h", "fp", "mark", "n", "first"])
 
     return run
 
 
-def _prefixes(share: Fraction):
-    """(key, cid, n, at): the first shingles of each set, of which sets that are similar enough have one in common."""
+def _prefixes(batches):
+    """(key, cid, root, n, at): the first shingles of each set (cid, root, n, first)."""
+    for batch in common.text_batches(batches):
+        sets = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        if sizes.sum():
+            at = np.concatenate([np.arange(m) for m in sizes.tolist()]).astype(np.int32)
+            same = [np.repeat(batch.column(k).to_numpy(), sizes) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(sets), *same, at)], ["key", "cid", "root", "n", "at"])
 
-    def run(batches):
-        for batch in common.text_batches(batches):
-            sets = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-            sizes = np.array([len(s) for s in sets], np.int64)
-            most = np.where(sizes > 0, sizes + share.numerator * sizes // -share.denominator + 1, 0)
-            if most.sum():
-                key = np.concatenate([s[:m] for s, m in zip(sets, most.tolist())])
-                at = np.concatenate([np.arange(m) for m in most.tolist()])
-                cid = np.repeat(batch.column(0).to_numpy(), most)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, cid, np.repeat(sizes, most).astype(np.int32), at.astype(np.int32))], ["key", "cid", "n", "at"])
 
-    return run
-
-
-def _met(batches):
+def _shared(batches):
     """Rows whose key two rows have, from a stream sorted by key; holds one row of the open key at most."""
     held, open_key = None, None
     for batch in batches:
@@ -234,20 +245,20 @@ def _runs(table: pa.Table):
     key = table["key"].to_numpy()
     starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
     n, at = (table[c].to_numpy().astype(np.int64) for c in ("n", "at"))
-    return starts, np.diff(np.append(starts, len(key))), table["cid"].to_numpy(), n, at
+    return starts, np.diff(np.append(starts, len(key))), table["cid"].to_numpy(), table["root"].to_numpy(), n, at
 
 
 def _stars(share: Fraction):
-    """Pairs of each run's first ``HUBS`` rows with those after them."""
+    """Pairs of each run's first ``HUBS`` rows with those after them that are not in one component (``root``) yet."""
 
     def run(batches):
         for table in common.sorted_runs(batches, ["key"]):
-            starts, size, cid, n, at = _runs(table)
+            starts, size, cid, root, n, at = _runs(table)
             first, rows, found = np.repeat(starts, size), np.arange(len(cid)), []
             for d in range(HUBS):
                 b = rows[rows > first + d]
                 a = first[b] + d
-                fit = _fit(share, n, at, a, b)
+                fit = (root[a] != root[b]) & _fit(share, n, at, a, b)
                 found.append(np.stack([cid[a[fit]], cid[b[fit]]], 1))
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -256,11 +267,11 @@ def _stars(share: Fraction):
 
 
 def _rest(share: Fraction):
-    """All other pairs of each run whose rows aren't in one component (``root``) yet."""
+    """All other pairs of each run whose rows aren't in one component yet."""
 
     def some(table):
-        starts, size, cid, n, at = _runs(table)
-        root, first = table["root"].to_numpy(), np.repeat(starts, size)
+        starts, size, cid, root, n, at = _runs(table)
+        first = np.repeat(starts, size)
         length = np.repeat(size, size)
         fit = lambda a, b: (a >= first[a] + HUBS) & (root[a] != root[b]) & _fit(share, n, at, a, b)
         for d in range(1, SHORT):
@@ -309,37 +320,60 @@ def _linked(share: Fraction):
     return run
 
 
-def _verified_pairs(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets (cid, shingles) have a Jaccard similarity of ``share`` or more."""
-    second = pairs.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("t")), "b")
-    both = second.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("s")), "a")
-    return common.cut(both.select("a", "b", "s", "t").mapInArrow(_linked(share), "a long, b long"))
+def _sets(shingle: int):
+    def run(batches):
+        for batch in common.text_batches(batches, 1 << 20):
+            sets = [np.unique(hashes(x, shingle)).astype(np.uint64).tobytes() for x in common.binary_values(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["cid", "shingles"])
+
+    return run
+
+
+def _verified_pairs(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, share: Fraction) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets have a Jaccard similarity of ``share`` or more. Only their texts are read again."""
+    both = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    named = common.cut(nodes.join(both, "cid").select("cid", F.col("one._id").alias("_i"), F.col("one.h").alias("_h")))
+    few = F.broadcast(named) if named.count() <= NAMED else named
+    some = texts.join(few, (F.col("h") == F.col("_h")) & F.col("_id").eqNullSafe(F.col("_i"))).select("cid", "_t")
+    sets = common.cut(some.mapInArrow(_sets(shingle), "cid long, shingles binary").groupBy("cid").agg(F.first("shingles").alias("s")))  # rows may be repeated
+    second = pairs.join(sets.select(F.col("cid").alias("b"), F.col("s").alias("t")), "b")
+    first = second.join(sets.select(F.col("cid").alias("a"), "s"), "a")
+    return common.cut(first.select("a", "b", "s", "t").mapInArrow(_linked(share), "a long, b long"))
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: id_col, component_id, linking texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Exact but for collisions of 64-bit hashes: similar sets have one of their first shingles in
-    common, in any order of all shingles, and meet there. A few sets of each run are compared with
-    the others; then all pairs that are not in one component by that. Null, blank and repeated
-    rows are as in :func:`near_duplicates`; texts without words link with each other alone.
+    Ball hashing of the fingerprints gives the first pairs. What it may miss, prefix filtering
+    adds: similar sets have one of their first shingles in common, in any order of all shingles,
+    and meet there. A few sets of each run are compared with the others; then all pairs that are
+    not in one component by that. Every link is verified on the shingle sets, so the result is
+    exact but for collisions of 64-bit hashes. Null, blank and repeated rows are as in
+    :func:`near_duplicates`; texts without words link with each other alone.
     """
     n, share = common.parts(docs.sparkSession), Fraction(str(similarity))
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
-    own = texts.mapInArrow(_ordered(shingle, *_common(texts, shingle)), f"_id {kind}, mark binary, shingles binary")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).select("_id", F.xxhash64("_t").alias("h"), "_t")
+    own = texts.mapInArrow(_described(shingle, share, *_common(texts, shingle)), f"_id {kind}, h long, fp long, mark binary, n int, first binary")
     own = common.cut(own.withColumn("row", F.monotonically_increasing_id()))
-    nodes = common.cut(own.groupBy("mark").agg(F.min("_id").alias("least"), F.min("row").alias("cid")))
-    sets = own.join(nodes.select("cid"), F.col("row") == F.col("cid"), "left_semi").select(F.col("row").alias("cid"), "shingles")
-    each = sets.mapInArrow(_prefixes(share), "key long, cid long, n int, at int").repartition(n, "key").sortWithinPartitions("key", F.xxhash64("cid"), "cid")
-    met = common.cut(each.mapInArrow(_met, "key long, cid long, n int, at int"))
-    stars = _verified_pairs(common.cut(met.mapInArrow(_stars(share), "a long, b long").distinct()), sets, share)
-    roots = common.components(stars)
-    known = met.join(roots, F.col("cid") == F.col("node"), "left").select("key", "cid", "n", "at", F.coalesce("root", "cid").alias("root"))
-    known = known.repartition(n, "key").sortWithinPartitions("key", F.xxhash64("cid"), "cid")
-    rest = _verified_pairs(common.cut(known.mapInArrow(_rest(share), "a long, b long").distinct()), sets, share)
-    roots = common.components(stars.union(rest))
-    label = nodes.join(roots, F.col("cid") == F.col("node"), "left").select("mark", "least", F.coalesce("root", "cid").alias("root"))
+    nodes = own.groupBy("mark").agg(F.min("_id").alias("least"), F.min("row").alias("cid"), F.min_by(F.struct("_id", "h", "fp", "n", "first"), "row").alias("one"))
+    nodes = common.cut(nodes)
+    verified = lambda pairs: _verified_pairs(common.cut(pairs), texts, nodes, shingle, share)
+
+    fps = common.cut(nodes.groupBy(F.col("one.fp").alias("fp")).agg(F.min("cid").alias("cid")))
+    near = links(fps.select("fp")).join(fps.select(F.col("fp").alias("a"), F.col("cid").alias("u")), "a").join(fps.select(F.col("fp").alias("b"), F.col("cid").alias("v")), "b")
+    same = nodes.select(F.col("one.fp").alias("fp"), F.col("cid").alias("v")).join(fps, "fp").where("cid <> v")
+    found = verified(near.select(F.col("u").alias("a"), F.col("v").alias("b")).union(same.select("cid", "v")))
+
+    rooted = lambda rows: rows.join(common.components(found), F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
+    dealt = lambda rows: rows.repartition(n, "key").sortWithinPartitions("key", F.xxhash64("cid"), "cid")
+    schema = "key long, cid long, root long, n int, at int"
+    each = rooted(nodes.select("cid", "one.n", "one.first")).select("cid", "root", "n", "first").mapInArrow(_prefixes, schema)
+    met = common.cut(dealt(each).mapInArrow(_shared, schema))
+    found = found.union(verified(met.mapInArrow(_stars(share), "a long, b long").distinct()))
+    again = dealt(rooted(met.drop("root")).select("key", "cid", "root", "n", "at"))
+    found = found.union(verified(again.mapInArrow(_rest(share), "a long, b long").distinct()))
+    label = rooted(nodes.select("mark", "least", "cid")).select("mark", "least", "root")
     top = label.groupBy("root").agg(F.min("least").alias("component_id"))
     return own.select("_id", "mark").join(label.join(top, "root").select("mark", "component_id"), "mark").select(F.col("_id").alias(id_col), "component_id")
 
