@@ -141,11 +141,11 @@ def test_embeddings_at_the_threshold_share_a_bucket():
     assert (mine[:, :, :, None] == theirs[:, :, None, :]).any((1, 2, 3)).all()
 
 
-@pytest.mark.parametrize("block", [4096, 2])
+@pytest.mark.parametrize("block", [16_384, 40, 2])
 def test_repeats(docs, texts, monkeypatch, block):
     monkeypatch.setattr(repeats, "BLOCK", block)
-    monkeypatch.setattr(repeats, "POOL", 64 if block == 2 else 50_000)
-    monkeypatch.setattr(repeats, "SEGMENT", 1000 if block == 2 else 1 << 20)
+    monkeypatch.setattr(repeats, "POOL", 50_000 if block > 100 else 64)
+    monkeypatch.setattr(repeats, "SEGMENT", 1 << 20 if block > 100 else 1000)
     own = [(i, (t or "").encode()) for i, t in texts]
     first = {}
     for i, data in own:
