@@ -157,8 +157,8 @@ SIMILARITY = 0.8
 #: Documents (about) whose shingles set the order, least times one occurs among them to count as common, most common ones. All links are found
 #: in any order; this one keeps common passages out of the prefixes.
 SAMPLE, OFTEN, COMMON = 10_000, 3, 200_000
-#: Rows of a run of equal shingles that are compared with all its others first.
-HUBS = 8
+#: Rows of a run of equal shingles that are compared with all its others, in rounds, before all pairs are. Most near copies are tied by the first.
+HUBS = (1, 8)
 #: Pairs held at a time; longest run whose pairs are found by shifting.
 PAIRS, SHORT = 1 << 18, 32
 #: Most texts to verify whose ids are broadcast (24 bytes each); beyond, they are joined by shuffling.
@@ -248,14 +248,14 @@ def _runs(table: pa.Table):
     return starts, np.diff(np.append(starts, len(key))), table["cid"].to_numpy(), table["root"].to_numpy(), n, at
 
 
-def _stars(share: Fraction):
-    """Pairs of each run's first ``HUBS`` rows with those after them that are not in one component (``root``) yet."""
+def _stars(share: Fraction, hubs: int):
+    """Pairs of each run's first ``hubs`` rows with those after them that are not in one component (``root``) yet."""
 
     def run(batches):
         for table in common.sorted_runs(batches, ["key"]):
             starts, size, cid, root, n, at = _runs(table)
             first, rows, found = np.repeat(starts, size), np.arange(len(cid)), []
-            for d in range(HUBS):
+            for d in range(hubs):
                 b = rows[rows > first + d]
                 a = first[b] + d
                 fit = (root[a] != root[b]) & _fit(share, n, at, a, b)
@@ -266,21 +266,21 @@ def _stars(share: Fraction):
     return run
 
 
-def _rest(share: Fraction):
+def _rest(share: Fraction, hubs: int):
     """All other pairs of each run whose rows aren't in one component yet."""
 
     def some(table):
         starts, size, cid, root, n, at = _runs(table)
         first = np.repeat(starts, size)
         length = np.repeat(size, size)
-        fit = lambda a, b: (a >= first[a] + HUBS) & (root[a] != root[b]) & _fit(share, n, at, a, b)
+        fit = lambda a, b: (a >= first[a] + hubs) & (root[a] != root[b]) & _fit(share, n, at, a, b)
         for d in range(1, SHORT):
             a = np.flatnonzero(length <= SHORT)
             a = a[a + d < first[a] + length[a]]
             a = a[fit(a, a + d)]
             yield cid[a], cid[a + d]
         for s, e in zip(starts[size > SHORT], (starts + size)[size > SHORT]):
-            for i in range(s + HUBS, e if (root[s:e] != root[s]).any() else s):
+            for i in range(s + hubs, e if (root[s:e] != root[s]).any() else s):
                 b = np.arange(i + 1, e)
                 b = b[fit(np.full(len(b), i), b)]
                 yield np.full(len(b), cid[i]), cid[b]
@@ -346,8 +346,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
     Ball hashing of the fingerprints gives the first pairs. What it may miss, prefix filtering
     adds: similar sets have one of their first shingles in common, in any order of all shingles,
-    and meet there. A few sets of each run are compared with the others; then all pairs that are
-    not in one component by that. Every link is verified on the shingle sets, so the result is
+    and meet there. A few sets of each run (``HUBS``) are compared with the others; then all pairs
+    that are not in one component by that. Every link is verified on the shingle sets, so the result is
     exact but for collisions of 64-bit hashes. Null, blank and repeated rows are as in
     :func:`near_duplicates`; texts without words link with each other alone.
     """
@@ -370,9 +370,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     schema = "key long, cid long, root long, n int, at int"
     each = rooted(nodes.select("cid", "one.n", "one.first")).select("cid", "root", "n", "first").mapInArrow(_prefixes, schema)
     met = common.cut(dealt(each).mapInArrow(_shared, schema))
-    found = found.union(verified(met.mapInArrow(_stars(share), "a long, b long").distinct()))
-    again = dealt(rooted(met.drop("root")).select("key", "cid", "root", "n", "at"))
-    found = found.union(verified(again.mapInArrow(_rest(share), "a long, b long").distinct()))
+    found = found.union(verified(met.mapInArrow(_stars(share, HUBS[0]), "a long, b long").distinct()))
+    for step in (*[_stars(share, hubs) for hubs in HUBS[1:]], _rest(share, HUBS[-1])):
+        again = dealt(rooted(met.drop("root")).select("key", "cid", "root", "n", "at"))
+        found = found.union(verified(again.mapInArrow(step, "a long, b long").distinct()))
     label = rooted(nodes.select("mark", "least", "cid")).select("mark", "least", "root")
     top = label.groupBy("root").agg(F.min("least").alias("component_id"))
     return own.select("_id", "mark").join(label.join(top, "root").select("mark", "component_id"), "mark").select(F.col("_id").alias(id_col), "component_id")
