@@ -159,6 +159,8 @@ SIMILARITY = 0.8
 SAMPLE, OFTEN, COMMON = 10_000, 3, 200_000
 #: Rows of a run of equal shingles that are compared with all its others, in rounds, before all pairs are. Most near copies are tied by the first.
 HUBS = (1, 8)
+#: Counts that sum up a shingle set; by them most pairs that share a rare shingle but are not similar are refused without reading their texts.
+SKETCH = 256
 #: Pairs held at a time; longest run whose pairs are found by shifting.
 PAIRS, SHORT = 1 << 18, 32
 #: Most texts to verify whose ids are broadcast (24 bytes each); beyond, they are joined by shuffling.
@@ -185,22 +187,25 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 def _described(shingle: int, share: Fraction, often: np.ndarray, times: np.ndarray):
     """Of each text (_id, h, _t): fingerprint, digest and size of its shingle set, and the first shingles, from the least to the most common.
 
-    Sets that are similar enough have one of these in common, whatever the order.
+    Sets that are similar enough have one of these in common, whatever the order. The sketch
+    counts shingles by their last bits; two sets share no more than the sum of the lesser counts.
     """
 
-    def one(x: bytes) -> tuple[int, bytes, int, bytes]:
+    def one(x: bytes) -> tuple[int, bytes, int, bytes, bytes]:
         every = hashes(x, shingle)
         own = np.unique(every).astype(np.uint64)
         n, mark = len(own), xxhash.xxh3_128_digest(own.tobytes())
+        counts = np.bincount((own % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+        sketch = counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"\xff" * SKETCH
         if len(often) and n:
             at = np.minimum(np.searchsorted(often, own), len(often) - 1)
             own = own[np.argsort(np.where(often[at] == own, times[at], 0), kind="stable")]
-        return _signed(voted(every)), mark, n, own[: n - -(-share.numerator * n // share.denominator) + 1 if n else 0].tobytes()
+        return _signed(voted(every)), mark, n, own[: n - -(-share.numerator * n // share.denominator) + 1 if n else 0].tobytes(), sketch
 
     def run(batches):
         for batch in common.text_batches(batches, 1 << 20):
-            fp, mark, n, first = zip(*[one(x) for x in common.binary_values(batch.column(2))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(mark, pa.binary()), pa.array(n, pa.int32()), pa.array(first, pa.binary())], ["_id", "h", "fp", "mark", "n", "first"])
+            fp, mark, n, first, sketch = zip(*[one(x) for x in common.binary_values(batch.column(2))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(mark, pa.binary()), pa.array(n, pa.int32()), pa.array(first, pa.binary()), pa.array(sketch, pa.binary())], ["_id", "h", "fp", "mark", "n", "first", "sketch"])
 
     return run
 
@@ -266,14 +271,33 @@ def _stars(share: Fraction, hubs: int):
     return run
 
 
+def _mixed(batches):
+    """The runs whose rows are in several components."""
+    for table in common.sorted_runs(batches, ["key"]):
+        starts, size, _, root, _, _ = _runs(table)
+        keep = np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), size)
+        yield from table.filter(pa.array(keep)).to_batches()
+
+
 def _rest(share: Fraction, hubs: int):
-    """All other pairs of each run whose rows aren't in one component yet."""
+    """All other pairs of each run whose rows aren't in one component yet and whose sketches let them be similar."""
 
     def some(table):
         starts, size, cid, root, n, at = _runs(table)
         first = np.repeat(starts, size)
         length = np.repeat(size, size)
-        fit = lambda a, b: (a >= first[a] + hubs) & (root[a] != root[b]) & _fit(share, n, at, a, b)
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+
+        def fit(a, b):
+            out = (a >= first[a] + hubs) & (root[a] != root[b]) & _fit(share, n, at, a, b)
+            some = np.flatnonzero(out)
+            for k in range(0, len(some), 1 << 14):
+                part = some[k : k + (1 << 14)]
+                x, y = sketch[a[part]], sketch[b[part]]
+                most = np.where((x.max(1) == 255) | (y.max(1) == 255), 1 << 40, np.minimum(x, y).sum(1, dtype=np.int64))
+                out[part] = most * (share.numerator + share.denominator) >= share.numerator * (n[a[part]] + n[b[part]])
+            return out
+
         for d in range(1, SHORT):
             a = np.flatnonzero(length <= SHORT)
             a = a[a + d < first[a] + length[a]]
@@ -354,9 +378,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     n, share = common.parts(docs.sparkSession), Fraction(str(similarity))
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).select("_id", F.xxhash64("_t").alias("h"), "_t")
-    own = texts.mapInArrow(_described(shingle, share, *_common(texts, shingle)), f"_id {kind}, h long, fp long, mark binary, n int, first binary")
+    own = texts.mapInArrow(_described(shingle, share, *_common(texts, shingle)), f"_id {kind}, h long, fp long, mark binary, n int, first binary, sketch binary")
     own = common.cut(own.withColumn("row", F.monotonically_increasing_id()))
-    nodes = own.groupBy("mark").agg(F.min("_id").alias("least"), F.min("row").alias("cid"), F.min_by(F.struct("_id", "h", "fp", "n", "first"), "row").alias("one"))
+    nodes = own.groupBy("mark").agg(F.min("_id").alias("least"), F.min("row").alias("cid"), F.min_by(F.struct("_id", "h", "fp", "n", "first", "sketch"), "row").alias("one"))
     nodes = common.cut(nodes)
     verified = lambda pairs: _verified_pairs(common.cut(pairs), texts, nodes, shingle, share)
 
@@ -371,9 +395,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     each = rooted(nodes.select("cid", "one.n", "one.first")).select("cid", "root", "n", "first").mapInArrow(_prefixes, schema)
     met = common.cut(dealt(each).mapInArrow(_shared, schema))
     found = found.union(verified(met.mapInArrow(_stars(share, HUBS[0]), "a long, b long").distinct()))
-    for step in (*[_stars(share, hubs) for hubs in HUBS[1:]], _rest(share, HUBS[-1])):
-        again = dealt(rooted(met.drop("root")).select("key", "cid", "root", "n", "at"))
-        found = found.union(verified(again.mapInArrow(step, "a long, b long").distinct()))
+    columns, again = ["key", "cid", "root", "n", "at"], lambda: dealt(rooted(met.drop("root")).select(*columns))
+    for hubs in HUBS[1:]:
+        found = found.union(verified(again().mapInArrow(_stars(share, hubs), "a long, b long").distinct()))
+    mixed = again().mapInArrow(_mixed, schema).join(nodes.select("cid", "one.sketch"), "cid").select(*columns, "sketch")
+    found = found.union(verified(dealt(mixed).mapInArrow(_rest(share, HUBS[-1]), "a long, b long").distinct()))
     label = rooted(nodes.select("mark", "least", "cid")).select("mark", "least", "root")
     top = label.groupBy("root").agg(F.min("least").alias("component_id"))
     return own.select("_id", "mark").join(label.join(top, "root").select("mark", "component_id"), "mark").select(F.col("_id").alias(id_col), "component_id")
