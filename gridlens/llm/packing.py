@@ -1,20 +1,26 @@
 """Best-fit packing by bin completion over length classes.
 
 Only how many pieces have each length matters to how few sequences hold them, and there are
-at most ``size`` lengths, so the search runs on the driver over that histogram: it takes the
-longest length left, enumerates the undominated fillings beside it and branches on them,
-least waste first, pruning by waste against the best packing so far (best-fit decreasing at
-first) and stopping at the lower bound. Filling is by as many equal sequences as the counts
-allow. The plan is at most ``size`` patterns; ranks within a length, salted, join pieces to it.
+at most ``size`` lengths, so the search runs on the driver over that histogram. Best-fit
+decreasing gives the first incumbent. Branch and bound then takes the longest length left,
+enumerates the undominated fillings beside it, least waste first, each only when its turn
+comes, and prunes by waste against the incumbent; it ends at the lower bound, when all is
+searched, or after ``NODES`` fillings, the one limit (:class:`Plan` tells the gap that is left).
+A branch fills as many equal sequences as the counts allow but ``SINGLE``, which are decided
+one by one: where no length occurs oftener, a search that ends is exact. The plan is small;
+ranks within a length, salted, join pieces to it.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
 import zlib
 from array import array
+from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,26 +30,56 @@ from pyspark.sql import functions as F
 from . import common
 
 SIZE, END = 1024, 2
-#: Fillings enumerated beside one longest item, branches tried at a node, nodes searched. They bound time alone; any plan holds all pieces.
-FILLINGS, BRANCHES, NODES = 2_000, 3, 4_000
+#: Fillings tried, dominated ones too, which bounds time alone: any plan holds all pieces. Equal sequences decided one by one.
+NODES, SINGLE = 4_000, 3
 #: Salts that split one length's pieces over tasks.
 SALTS = 256
-#: Chunks whose ids a worker remembers; beyond, it starts anew.
+#: Chunks whose ids a worker remembers at least, over all its tasks; at twice as many it forgets those not met since.
 REMEMBERED = 400_000
 #: Below this code point both tokenizer libraries class characters alike.
 PLAIN = "\u0250"
 #: Fixed value: how byte-level BPE files of this kind split a text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Single blanks between two other characters; white space other than blank and line feed.
+#: Single blanks between two other characters.
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Stands for a line feed at the front of a chunk.
+_LINE = "\0"
+
+
+class _Odd(Exception):
+    """White space that single blanks and line feeds don't describe."""
+
+
+class _Known(dict):
+    """Ids by chunk: a word stands for itself after a blank, or after a line feed if it begins with ``_LINE``."""
+
+    def __init__(self, encoded, blank: str = " "):
+        super().__init__()
+        self.encoded, self.blank, self.old = encoded, blank, {}
+
+    def aged(self) -> None:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, word: str) -> bytes:
+        if (out := self.old.get(word)) is not None:
+            self[word] = out
+            return out
+        line = word[:1] == _LINE
+        bare = word[1:] if line else word
+        if not bare or bare[0].isspace() or bare[-1].isspace():
+            raise _Odd
+        self[word] = out = self.encoded(("\n" if line else self.blank) + bare)
+        return out
 
 
 class Tokens:
     """Ids of texts under a byte-level BPE file, remembered by chunk.
 
     No pre-token of this kind of tokenizer has a blank inside or at its end, so a text splits
-    before every single blank that stands between two other characters.
+    before every single blank that stands between two other characters, and around single
+    line feeds that do. Texts with other runs of white space split at such blanks alone.
     """
 
     def __init__(self, path: str):
@@ -53,40 +89,39 @@ class Tokens:
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.fast = _ranked(json.loads(self.whole.to_str()))
-        self.known: dict[str, bytes] = {}
+        self.known, self.first = _Known(self.encoded), _Known(self.encoded, "")
+
+    def encoded(self, chunk: str) -> bytes:
+        if self.fast and max(chunk) < PLAIN and not self.special_in(chunk):
+            return array("I", self.fast(chunk)).tobytes()
+        return array("I", self.whole.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        chunks = [self.chunks(t) for t in texts]
-        new = list({c for each in chunks for c in each if c not in self.known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            slow = part
-            if self.fast:
-                slow = [c for c in part if max(c) >= PLAIN or self.special_in(c)]
-                left = set(slow)
-                self.known |= {c: array("I", self.fast(c)).tobytes() for c in part if c not in left}
-            for c, e in zip(slow, self.whole.encode_batch_fast(slow, add_special_tokens=False)):
-                self.known[c] = array("I", e.ids).tobytes()
-        known = self.known
-        return [b"".join([known[c] for c in each]) for each in chunks]
+        self.known.aged()
+        self.first.aged()
+        return [self.of(t) for t in texts]
+
+    def of(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if _LINE in text or self.special_in(text):
+            return self.encoded(text)
+        first, *rest = text.replace("\n", " " + _LINE).split(" ")
+        try:
+            return b"".join([self.first[first] if first or not rest else b"", *map(self.known.__getitem__, rest)])
+        except _Odd:
+            first, *rest = _SINGLE.split(text)
+            return b"".join([self.encoded(first), *(self.encoded(" " + x) for x in rest)])
 
     def special_in(self, text: str) -> bool:
         return any(s in text for s in self.special)
 
-    def chunks(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if self.special_in(text):
-            return [text]
-        if "  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
-            parts = _SINGLE.split(text)
-            return [parts[0], *(" " + p for p in parts[1:])]
-        first, *rest = text.split(" ")
-        out = [" " + p for p in rest]
-        return [first, *out] if first else out
+
+@functools.lru_cache(maxsize=1)
+def _tokens(path: str) -> Tokens:
+    """One for all tasks of a worker."""
+    return Tokens(path)
 
 
 def _ranked(spec: dict):
@@ -112,7 +147,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        tokens, tail = Tokens(path), np.array([end], "<u4").tobytes()
+        tokens, tail = _tokens(path), np.array([end], "<u4").tobytes()
         for batch in common.text_batches(batches, 2 << 20):
             out = []
             texts = [x or "" for x in batch.column(2).to_pylist()]
@@ -129,92 +164,131 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     return own.mapInArrow(run, f"_id {kind}, _row long, piece int, start long, length long, ids_crc32 long")
 
 
+@dataclass
+class Plan:
+    """Sequences as (how many, lengths of one); how many there are, and at least have to be."""
+
+    patterns: list[tuple[int, list[int]]]
+    used: int
+    least: int
+
+
 def best_fit(counts: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
-    """Best-fit decreasing over a histogram: (how many, lengths of one sequence)."""
-    left, out = dict(counts), []
-    while left:
-        room, one = size, []
-        while fits := [x for x in left if x <= room and left[x] > one.count(x)]:
-            one.append(max(fits))
-            room -= one[-1]
-        out.append(_taken(left, one))
+    """Best-fit decreasing: each item, longest first, goes to the fullest sequence that has room. Equal sequences are filled together."""
+    open_: dict[int, dict[tuple[int, ...], int]] = {}
+    for x in sorted(counts, reverse=True):
+        left = counts[x]
+        while left:
+            room = min((r for r in open_ if r >= x), default=None)
+            held = open_.pop(room) if room is not None else {(): -(-left // (size // x))}
+            room = size if room is None else room
+            for one, many in held.items():
+                each = min(room // x, left)  # the fullest that fits stays so until it is full
+                for n, take in ((min(many, left // each) if each else 0, each), (1, left % each if each and many > left // each else 0)):
+                    if n and take:
+                        at = open_.setdefault(room - take * x, {})
+                        key = (*one, *[x] * take)
+                        at[key] = at.get(key, 0) + n
+                        many, left = many - n, left - n * take
+                if many and one:
+                    at = open_.setdefault(room, {})
+                    at[one] = at.get(one, 0) + many
+    return [(many, list(one)) for held in open_.values() for one, many in held.items()]
+
+
+def least_sequences(counts: dict[int, int], size: int) -> int:
+    """Lower bound: for each k, items over size - k have a sequence each, and what those of k or more need beyond the room of these."""
+    out = 0
+    for k in {0, *(x for x in counts if 2 * x <= size)}:
+        alone = sum(n for x, n in counts.items() if x > size - k)
+        half = {x: n for x, n in counts.items() if size < 2 * x <= 2 * (size - k)}
+        rest = sum(x * n for x, n in counts.items() if k <= x and 2 * x <= size)
+        free = sum(n * (size - x) for x, n in half.items())
+        out = max(out, alone + sum(half.values()) + max(0, -(-(rest - free) // size)))
     return out
 
 
-def _taken(left: dict[int, int], one: list[int]) -> tuple[int, list[int]]:
-    """Takes as many sequences like ``one`` as the counts allow, which uses up a length."""
-    used = {x: one.count(x) for x in set(one)}
-    many = min(left[x] // n for x, n in used.items())
-    for x, n in used.items():
-        left[x] -= many * n
-        if not left[x]:
-            del left[x]
-    return many, one
-
+def _dominated(one: list[int], left: dict[int, int], room: int) -> bool:
+    """Could a single item that is left out replace some of those beside the first, being as long as they are or longer?"""
+    sums, several = 1, 0  # bit s: some items, two or more items, have the sum s
+    for x in one[1:]:
+        several |= several << x | (sums & ~1) << x
+        sums |= sums << x
+    for y, n in left.items():
+        if n > one.count(y):
+            low = max(0, y - room)
+            if (sums >> low) & ((1 << (y - low)) - 1) & (-2 if low == 0 else -1) or several >> y & 1:
+                return True
+    return False
 
-def fillings(left: dict[int, int], size: int) -> list[list[int]]:
-    """Undominated fillings beside the longest length left, least waste first.
 
-    A filling that leaves room for a further item is dominated by the one with it, and one
-    whose single item could be replaced by a longer one that fits is dominated by that.
-    """
+def fillings(left: dict[int, int], size: int, most: int):
+    """Fillings beside the longest length left that waste at most ``most``, least waste first, as (waste, lengths); None in place of dominated ones."""
     longest = max(left)
-    lengths = sorted(left, reverse=True)
-    found: list[tuple[int, list[int]]] = []
-    steps = 0
-
-    def grow(at: int, room: int, one: list[int]) -> None:
-        nonlocal steps
-        steps += 1
-        if steps > FILLINGS or found and found[-1][0] == 0:
-            return
-        fits = False
-        for i in range(at, len(lengths)):
-            x = lengths[i]
-            if x <= room and left[x] > one.count(x):
-                fits = True
-                grow(i, room - x, [*one, x])
-                if steps > FILLINGS or found and found[-1][0] == 0:
-                    return
-        if not fits and not any(x <= room and left[x] > one.count(x) for x in lengths[:at]):
-            found.append((room, one))
-
-    grow(0, size - longest, [longest])
-    out: dict[tuple[int, ...], int] = {tuple(one): room for room, one in found}
-    best = sorted(out, key=lambda o: (out[o], len(o), [-x for x in o]))
-    kept: list[tuple[int, ...]] = []
-    for o in best:
-        if not any(len(k) == len(o) and all(a >= b for a, b in zip(k, o)) for k in kept[:BRANCHES]):
-            kept.append(o)
-        if len(kept) >= BRANCHES:
-            break
-    return [list(o) for o in kept] or [[longest]]
-
-
-def complete(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, list[int]]]:
-    """Few sequences that hold all pieces: (how many, lengths of one), by branch and bound on waste."""
-    total = sum(x * n for x, n in counts.items())
-    least = -(-total // size)
-    best = best_fit(counts, size)
-    most = sum(n for n, _ in best)
-    nodes = 0
-    stack: list[tuple[dict[int, int], list[tuple[int, list[int]]], int]] = [(dict(counts), [], 0)]
-    while stack and most > least and nodes < NODES:
-        left, plan, waste = stack.pop()
+    lengths = [x for x in sorted(left, reverse=True) if x <= size - longest]
+    many = {x: min(left[x] - (x == longest), (size - longest) // x) for x in lengths}
+    limit = (1 << (size - longest + 1)) - 1
+    reach = [1]  # reach[k]: bits of the sums that the last k lengths have
+    for x in reversed(lengths):
+        sums = reach[-1]
+        for _ in range(many[x]):
+            sums |= reach[-1] if sums == sums | (sums << x & limit) else sums << x & limit
+        reach.append(sums)
+
+    def grow(k: int, want: int, one: list[int]):
+        if not want:
+            yield one
+        for j in range(k, len(lengths) if want else 0):
+            if not reach[len(lengths) - j] >> want & 1:
+                return
+            x = lengths[j]
+            for n in range(min(many[x], want // x), 0, -1):
+                yield from grow(j + 1, want - n * x, [*one, *[x] * n])
+
+    for waste in range(min(most, size - longest) + 1):
+        for one in grow(0, size - longest - waste, [longest]):
+            yield waste, None if _dominated(one, left, waste) else one
+
+
+def complete(counts: dict[int, int], size: int = SIZE) -> Plan:
+    """Few sequences that hold all pieces, by branch and bound on waste."""
+    total, least = sum(x * n for x, n in counts.items()), least_sequences(counts, size)
+    patterns = best_fit(counts, size)
+    best = Plan(patterns, sum(n for n, _ in patterns), least)
+    # What each open node has left, its waste and its untried fillings; the plan so far.
+    stack, plan, nodes, seen = [(dict(counts), 0, None)], [], 0, {}
+    while stack and best.used > least and nodes < NODES:
+        left, waste, tries = stack.pop()
+        spare = (best.used - 1) * size - total - waste  # more waste can't make a better packing
+        if tries is None:
+            if not left:
+                used = sum(n for n, _ in plan)
+                if used < best.used:
+                    best = Plan(list(plan), used, least)
+                plan.pop()
+                continue
+            key = tuple(sorted(left.items()))
+            if spare < 0 or seen.get(key, waste + 1) <= waste:
+                if plan:
+                    plan.pop()
+                continue
+            seen[key], tries = waste, fillings(left, size, spare)
+        found = next(tries, None)
+        if found is None or found[0] > spare:
+            if plan:
+                plan.pop()
+            continue
+        stack.append((left, waste, tries))
         nodes += 1
-        if not left:
-            used = sum(n for n, _ in plan)
-            if used < most:
-                best, most = plan, used
+        lost, one = found
+        if one is None:
             continue
-        branches = []
-        for one in fillings(left, size):
-            rest = dict(left)
-            many, _ = _taken(rest, one)
-            lost = waste + many * (size - sum(one))
-            if lost <= (most - 1) * size - total:  # else no better packing is left below
-                branches.append((rest, [*plan, (many, one)], lost))
-        stack += reversed(branches)
+        used = Counter(one)
+        many = min(left[x] // n for x, n in used.items())
+        many = max(1, many - SINGLE)
+        rest = {x: n - many * used.get(x, 0) for x, n in left.items()}
+        plan.append((many, one))
+        stack.append(({x: n for x, n in rest.items() if n}, waste + many * lost, None))
     return best
 
 
@@ -233,7 +307,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     for length, salt, n in rows:
         before.append((length, salt, counts.get(length, 0)))
         counts[length] = counts.get(length, 0) + n
-    plan = complete(counts, size)
+    plan = complete(counts, size).patterns if counts else []
     slots, at, first = [], dict.fromkeys(counts, 0), 0
     for many, one in plan:
         offset = 0
@@ -246,7 +320,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     by_length: dict[int, list] = {}
     for x, *slot in slots:
         by_length.setdefault(x, []).append(tuple(slot))
-    # At most one row a length, and as many slots as the at most ``size`` patterns have.
+    # One row a length, with as many slots as the plan's patterns have of it; size x SALTS rows of salts at most, whatever the table's size.
     planned = spark.createDataFrame([(x, sorted(s)) for x, s in by_length.items()], "length long, slots array<struct<low: long, high: long, shift: long, offset: long>>")
     salts = spark.createDataFrame(before, "length long, _salt int, before long")
     ranked = own.withColumn("rank", F.expr("row_number() OVER (PARTITION BY length, _salt ORDER BY _row, piece) - 1L"))

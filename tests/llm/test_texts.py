@@ -208,11 +208,27 @@ def least_bins(lengths, size):
 
 def test_bin_completion_is_optimal_on_small_cases():
     rng = random.Random(6)
-    for _ in range(60):
-        lengths = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 9))), reverse=True)
-        plan = packing.complete(Counter(lengths), 20)
-        assert Counter(x for n, one in plan for x in one * n) == Counter(lengths) and all(sum(one) <= 20 for _, one in plan)
-        assert sum(n for n, _ in plan) == least_bins(lengths, 20)
+    cases = [([rng.randint(1, 20) for _ in range(rng.randint(1, 9))], 20) for _ in range(200)] + [([rng.randint(15, 60) for _ in range(rng.randint(5, 13))], 100) for _ in range(400)]
+    cases += [([18, 24, 24, 25, 25, 28, 30, 31, 31, 32, 39, 40, 52], 100), ([100] * 3, 100), ([7], 7)]
+    for lengths, size in cases:
+        plan = packing.complete(Counter(lengths), size)
+        for patterns in (plan.patterns, packing.best_fit(Counter(lengths), size)):
+            assert Counter(x for n, one in patterns for x in one * n) == Counter(lengths) and all(sum(one) <= size for _, one in patterns)
+        assert plan.used == sum(n for n, _ in plan.patterns) == least_bins(sorted(lengths, reverse=True), size) >= plan.least, lengths
+
+
+def test_best_fit_takes_the_fullest_that_has_room():
+    rng = random.Random(8)
+    for _ in range(200):
+        lengths, size = sorted((rng.randint(1, 30) for _ in range(rng.randint(1, 60))), reverse=True), 50
+        rooms = []
+        for x in lengths:
+            k = min((k for k, r in enumerate(rooms) if r >= x), key=lambda k: rooms[k], default=None)
+            if k is None:
+                rooms.append(size - x)
+            else:
+                rooms[k] -= x
+        assert sum(n for n, _ in packing.best_fit(Counter(lengths), size)) == len(rooms)
 
 
 class Small:
