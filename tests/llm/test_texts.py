@@ -158,6 +158,43 @@ def test_toxicity(spark, empty):
     assert toxicity.fit(docs, labels.limit(0))["gains"] == {} and toxicity.scored(empty, model).count() == 0
 
 
+def test_extreme_value_rate():
+    scores, shares = np.array([4.0, 1.0, -0.5]), np.array([0.02, 0.03, 0.95])
+    rate = toxicity.rate_of(scores, shares)
+    assert rate > 0 and abs((shares * np.exp(rate * scores)).sum() - 1) < 1e-9
+    assert toxicity.rate_of(np.array([-1.0]), np.array([1.0])) == toxicity.rate_of(np.array([2.0, -1.0]), np.array([0.6, 0.4])) == 1.0
+
+
+def test_word_scores():
+    """Scores against the formulas, word by word: own where it is sure, else the stem's within the word's own doubt."""
+    names, toxic, clean, docs, pairs = ["the", "scoundrel", "scoun*", "scounder", "rare"], np.array([90, 40, 60, 6, 1]), np.array([380, 1, 2, 0, 2]), [100, 400], [3000, 12000]
+    odds, doubt = toxicity.leanings(toxic, clean, docs, pairs)
+    for k in range(4):
+        y, prior = toxic[k] + clean[k], 50 * (toxic[k] + clean[k]) / 500
+        y1, y0, whole = toxic[k] + prior, clean[k] + prior, 50 * 15000 / 500
+        assert abs(odds[k] - (np.log(y1 / (3000 + whole - y1)) - np.log(y0 / (12000 + whole - y0)))) < 1e-9 and abs(doubt[k] - 2.5 * np.sqrt(1 / y1 + 1 / y0)) < 1e-9
+    told, cost = toxicity.word_scores(names, odds, doubt, np.array([1000, 2, 4, 0, 2]), 20000)
+    sure = lambda k: np.sign(odds[k]) * max(0, abs(odds[k]) - doubt[k])
+    assert doubt[4] == np.inf and abs(told["scoundrel"] / cost - (sure(1) / toxicity.COST - 1)) < 1e-6 and abs(told["scoun*"] / cost - (sure(2) / toxicity.COST - 1)) < 1e-6
+    want = sure(3) if sure(3) else min(max(sure(2), odds[3] - doubt[3]), odds[3] + doubt[3])
+    gains = toxicity.Gains(told)
+    assert abs(gains["scounder"] / cost - (want / toxicity.COST - 1)) < 1e-6 and gains["scounting"] == told["scoun*"] and gains["rare"] is None
+
+
+def test_toxicity_odd_rows(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("bdgklm") + rng.choice("aeiou") for _ in range(2))
+    rows = [(i, " ".join([word() for _ in range(30)] + ["scoundrel"] * (i % 2))) for i in range(120)]
+    rows += [(1, rows[1][1]), (1, "another text"), (None, "scoundrel"), (200, None), (201, ""), (202, f"{rows[0][1]} " * 3000 + "scoundrel"), (203, "scoundrel"), (203, "scoundrel")]
+    docs = spark.createDataFrame([(i, t, 7, "x", "y", "z", 1.0) for i, t in rows], "doc_id long, text string, toxic int, words string, mark string, _t string, score double")
+    labels = spark.createDataFrame([(i, i % 2, "q") for i in range(120)] + [(5, 0, "q"), (6, None, "q"), (9999, 1, "q")], "doc_id long, toxic int, text string")
+    model = toxicity.fit(docs, labels)
+    out = [(r.doc_id, r.score) for r in toxicity.scored(docs, model).collect()]
+    assert Counter(i for i, _ in out) == Counter(i for i, _ in rows) and all(0 <= s <= 1 for _, s in out)
+    score = dict(out)
+    assert score[203] > 0.5 > score[200] == score[201] == score[0] and score[202] > score[0] and len({s for i, s in out if i == 203}) == 1
+
+
 ODD = ["", " ", "  ", "a b", "a  b", " a b ", "a\n b", "a \n b", "a\xa0 b", "x <|endoftext|> y", "a\tb", "a　 b c d", "日本 語 x", "a \x1c b", "it's  don't 're", "a\n\nb c\r\n d", "\x85 a", "é x", "a​ b", "😀 👍🏽 ok"]
 
 
