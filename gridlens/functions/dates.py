@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -23,23 +24,16 @@ COMPACT = ("%Y%m%d", "%Y%m%d%H%M%S")
 PLACEHOLDERS = {"", "null", "none", "n/a", "na", "nan", "nat", "-", "--"}
 SAMPLE = 2_000
 PARTS = ("year", "month", "day")
-#: Directive, Spark's letters, what people read, what the text looks like.
-DIRECTIVES = {
-    "%Y": ("yyyy", "YYYY", r"\d{4}"),
-    "%y": ("yy", "YY", r"\d{2}"),
-    "%m": ("M", "MM", r"\d{1,2}"),
-    "%d": ("d", "DD", r"\d{1,2}"),
-    "%H": ("H", "hh", r"\d{1,2}"),
-    "%M": ("m", "mm", r"\d{1,2}"),
-    "%S": ("s", "ss", r"\d{1,2}(?:\.\d+)?"),
-    "%b": ("MMM", "Mon", r"[A-Za-z]+\.?"),
-    "%B": ("MMMM", "Month", r"[A-Za-z]+"),
-}
-ISO = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}(?:[ T].*)?$"
+#: Spark's letters for a directive, and what people read.
+DIRECTIVES = {"%Y": ("yyyy", "YYYY"), "%y": ("yy", "YY"), "%m": ("M", "MM"), "%d": ("d", "DD"), "%H": ("H", "hh"), "%M": ("m", "mm"), "%S": ("s", "ss"), "%b": ("MMM", "Mon"), "%B": ("MMMM", "Month")}
+#: A year, month and day that one sign separates; a time may follow.
+ISO = r"^[0-9]{4}([-/])[0-9]{1,2}\1[0-9]{1,2}([ T]|$)"
+#: Some date, written in each format to see what its texts look like.
+_SOME = datetime.datetime(2001, 9, 20, 10, 11, 12)
 
 
-def _mapped(fmt: str, column: int, rest=lambda s: s) -> str:
-    return re.sub(r"(%[A-Za-z])|([^%]+)", lambda m: DIRECTIVES[m[1]][column] if m[1] else rest(m[2]), fmt)
+def _mapped(fmt: str, column: int) -> str:
+    return functools.reduce(lambda text, d: text.replace(d, DIRECTIVES[d][column]), DIRECTIVES, fmt)
 
 
 def label(fmt: str) -> str:
@@ -47,9 +41,18 @@ def label(fmt: str) -> str:
     return "YYYY-MM-DD" if fmt == "iso" else _mapped(fmt, 1)
 
 
-def shape(fmt: str) -> re.Pattern:
-    """What texts of a format look like; it rules formats out and never decides that something is a date."""
-    return re.compile(ISO if fmt == "iso" else "^" + _mapped(fmt, 2, lambda s: r"\s+".join(map(re.escape, s.split(" ")))) + "$")
+def outline(text: str) -> str:
+    """``text`` with each run of digits as 0, of letters as a, of blanks as one: what differs between layouts."""
+    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "0", re.sub(r"\s+", " ", text)))
+
+
+def _looks_like(text: str, fmt: str) -> bool:
+    """Cheap and never wrong to refuse; :func:`_reads` decides."""
+    if fmt == "iso":
+        return bool(re.match(ISO, text))
+    if fmt in COMPACT:
+        return text.isdigit() and len(text) == len(_SOME.strftime(fmt))
+    return outline(text) == outline(_SOME.strftime(fmt))
 
 
 def checked(fmt: str) -> str:
@@ -90,6 +93,8 @@ def _reads(text: str, fmt: str) -> bool:
     text = re.sub(" +", " ", text.strip(" "))
     try:
         if fmt == "iso":
+            if not re.match(ISO, text):
+                return False
             day, _, rest = text.replace("T", " ", 1).partition(" ")
             y, m, d = map(int, re.split("[-/]", day))
             datetime.date(y, m, d)
@@ -119,7 +124,7 @@ def detect(df: DataFrame) -> dict[str, tuple[str, ...]]:
         values = {r[k].strip() for r in rows if r[k] is not None}
         values = {v for v in values if v.lower() not in PLACEHOLDERS}
         if values:
-            fits = tuple(f for f in formats if all(map(shape(f).match, values)) and all(_reads(v, f) for v in values))
+            fits = tuple(f for f in formats if all(_looks_like(v, f) for v in values) and all(_reads(v, f) for v in values))
             if fits:
                 out[name] = fits
     return out

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gridlens.functions.kinds import Field, category, text_of
 from gridlens.plans.filters import FilterError, conjunction, extracted
+from gridlens.plans.pivot import medians
 from gridlens.sources.parquet import Dataset
 
 MOST_BYTES_SHOWN = 64
@@ -123,8 +124,12 @@ def stats_frame(data: Dataset, name: str, filters=(), transform=None, date_forma
     if category(kind) in ("numeric", "temporal"):
         out += [F.min(c).alias("lo"), F.max(c).alias("hi")]
     if category(kind) == "numeric":
-        out += [F.avg(c.cast("double")).alias("mean"), F.median(c.cast("double")).alias("med")]
-    return filtered(data, filters, skip=name).agg(*out)
+        out.append(F.avg(c.cast("double")).alias("mean"))
+    df = filtered(data, filters, skip=name)
+    if category(kind) != "numeric":
+        return df.agg(*out)
+    middle = medians(df.select(c.cast("double").alias("_v")), [], [[]], "_v", "med")
+    return df.agg(*out).select("*", middle.scalar().alias("med"))
 
 
 def column_stats(data: Dataset, name: str, filters=(), transform=None, date_format=None) -> dict:

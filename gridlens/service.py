@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 from gridlens.operators import crosstab, rows
 from gridlens.plans.pivot import AGGREGATIONS
 from gridlens.session import activate, prepared
-from gridlens.sinks.jobs import Exports
+from gridlens.sinks.jobs import KEPT_SECONDS, Exports
 from gridlens.sources import parquet
 
 MOST_RECENT, MOST_LISTED, MOST_PAGE, MOST_VALUES, VALUES = 12, 500, 1000, 2000, 300
@@ -100,6 +100,8 @@ class Service:
         return self._started(lambda tell: self.union(paths, source_column, tell) if paths else self.open(path or "", tell))
 
     def _started(self, work) -> dict:
+        for old in [k for k, j in self.steps.items() if j.status != "running" and time.time() - j.at > KEPT_SECONDS]:
+            del self.steps[old]
         job = Steps(self.spark, work)
         self.steps[job.id] = job
         return job.told()
@@ -160,7 +162,7 @@ class Service:
 
     # Queries
 
-    def preview(self, dataset_id: str, filters=(), columns=None, limit=100, offset=0, order_by=None, descending=False, transforms=None) -> dict:
+    def preview(self, dataset_id: str, filters=(), columns=None, limit=10, offset=0, order_by=None, descending=False, transforms=None) -> dict:
         return rows.preview(self.get(dataset_id), filters, columns, max(1, min(int(limit), MOST_PAGE)), max(0, int(offset)), order_by, descending, transforms)
 
     def count(self, dataset_id: str, filters=()) -> dict:
