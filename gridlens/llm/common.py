@@ -45,6 +45,16 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
+def release(*frames: DataFrame) -> None:
+    """Deletes what :func:`cut` wrote for ``frames``, which nothing may read any more."""
+    for df in frames:
+        spark = df.sparkSession
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -116,7 +126,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: each is a combinable minimum and a join
     that adaptive execution can split on a hub, so no node's neighbours meet in one task.
-    Every round is written to the shared folder. Rows with nulls or a = b link nothing.
+    Every round is written to the shared folder in place of the last. Rows with nulls or a = b link nothing.
     """
     spark = edges.sparkSession
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
@@ -133,6 +143,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         joined = large.join(least, "v")
         small = joined.select("v", F.col("m").alias("u")).union(joined.where("u > m").select(F.col("u").alias("v"), F.col("m").alias("u")))
-        now = cut(small.distinct())
+        old, now = now, cut(small.distinct())
+        release(old)
     stars = now.select(F.col("v").alias("node"), F.col("u").alias("root"))
     return stars.union(stars.select(F.col("root"), F.col("root")).distinct())

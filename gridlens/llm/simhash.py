@@ -354,7 +354,10 @@ def _sets(shingle: int):
 
 
 def _verified_pairs(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, share: Fraction) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets have a Jaccard similarity of ``share`` or more. Only their texts are read again."""
+    """Those of ``pairs`` (a, b: as :func:`common.cut` left them, and released) whose sets have a Jaccard similarity of ``share`` or more.
+
+    Only their texts are read again.
+    """
     both = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     named = common.cut(nodes.join(both, "cid").select("cid", F.col("one._id").alias("_i"), F.col("one.h").alias("_h")))
     few = F.broadcast(named) if named.count() <= NAMED else named
@@ -362,7 +365,9 @@ def _verified_pairs(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingl
     sets = common.cut(some.mapInArrow(_sets(shingle), "cid long, shingles binary").groupBy("cid").agg(F.first("shingles").alias("s")))  # rows may be repeated
     second = pairs.join(sets.select(F.col("cid").alias("b"), F.col("s").alias("t")), "b")
     first = second.join(sets.select(F.col("cid").alias("a"), "s"), "a")
-    return common.cut(first.select("a", "b", "s", "t").mapInArrow(_linked(share), "a long, b long"))
+    out = common.cut(first.select("a", "b", "s", "t").mapInArrow(_linked(share), "a long, b long"))
+    common.release(named, sets, pairs)
+    return out
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -379,9 +384,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).select("_id", F.xxhash64("_t").alias("h"), "_t")
     own = texts.mapInArrow(_described(shingle, share, *_common(texts, shingle)), f"_id {kind}, h long, fp long, mark binary, n int, first binary, sketch binary")
-    own = common.cut(own.withColumn("row", F.monotonically_increasing_id()))
-    nodes = own.groupBy("mark").agg(F.min("_id").alias("least"), F.min("row").alias("cid"), F.min_by(F.struct("_id", "h", "fp", "n", "first", "sketch"), "row").alias("one"))
-    nodes = common.cut(nodes)
+    whole = common.cut(own.withColumn("row", F.monotonically_increasing_id()))
+    one = F.min_by(F.struct("_id", "h", "fp", "n", "first", "sketch"), "row").alias("one")
+    nodes = common.cut(whole.groupBy("mark").agg(F.min("_id").alias("least"), F.min("row").alias("cid"), one))
+    own = common.cut(whole.select("_id", "mark"))
+    common.release(whole)
     verified = lambda pairs: _verified_pairs(common.cut(pairs), texts, nodes, shingle, share)
 
     fps = common.cut(nodes.groupBy(F.col("one.fp").alias("fp")).agg(F.min("cid").alias("cid")))
@@ -400,7 +407,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         found = found.union(verified(again().mapInArrow(_stars(share, hubs), "a long, b long").distinct()))
     mixed = again().mapInArrow(_mixed, schema).join(nodes.select("cid", "one.sketch"), "cid").select(*columns, "sketch")
     found = found.union(verified(dealt(mixed).mapInArrow(_rest(share, HUBS[-1]), "a long, b long").distinct()))
-    label = rooted(nodes.select("mark", "least", "cid")).select("mark", "least", "root")
+    label = common.cut(rooted(nodes.select("mark", "least", "cid")).select("mark", "least", "root"))
+    common.release(fps, met, nodes)
     top = label.groupBy("root").agg(F.min("least").alias("component_id"))
     return own.select("_id", "mark").join(label.join(top, "root").select("mark", "component_id"), "mark").select(F.col("_id").alias(id_col), "component_id")
 
