@@ -16,12 +16,13 @@ def _copy(path, select):
     return str(path)
 
 
-def test_open(data):
-    assert data.row_count == 200 and data.file_count == 1 and len(data.id) == 12 and data.file_size > 0
-    kinds = {f.name: f.category for f in data.fields}
-    assert kinds["clock"] == kinds["ts"] == "temporal" and kinds["tags"] == kinds["info"] == "complex" and kinds["flag"] == "boolean" and kinds["price"] == "numeric"
-    formats = {f.name: f.date_formats for f in data.fields if f.date_formats}
-    assert formats == {"dmy_text": ("%d/%m/%Y",), "ymd_int": ("%Y%m%d",)}
+def test_open(data, fixture_path):
+    assert (data.row_count, data.file_count, data.file_size) == (143, 1, os.path.getsize(fixture_path)) and len(data.id) == 12
+    kinds = {}
+    for f in data.fields:
+        kinds.setdefault(f.category, []).append(f.name)
+    assert kinds == {"numeric": ["stay", "score", "nights", "bill", "arrived_digits"], "text": ["town", "remark", "arrived_words"], "boolean": ["settled"], "temporal": ["arrived", "entered", "woken"], "complex": ["extras", "room"]}
+    assert {f.name: f.date_formats for f in data.fields if f.date_formats} == {"arrived_words": ("%d-%b-%Y",), "arrived_digits": ("%Y%m%d",)}
 
 
 def test_folder_reads_all_files(spark, tmp_path):
