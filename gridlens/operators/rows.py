@@ -106,7 +106,8 @@ def values_frame(data: Dataset, name: str, filters=(), search="", limit=500, exa
         df = df.where(F.contains(F.lower(text_of(c, kind)), F.lit(str(search).lower())))
     df = df.groupBy(shown.alias("value")).agg(F.count(F.lit(1)).alias("n"))
     order = [F.asc_nulls_last("value")] if transform else [F.desc("n"), F.asc_nulls_last("value")]
-    return df.orderBy(*order).limit(limit)
+    df = df.orderBy(*order)
+    return df.limit(limit) if limit else df
 
 
 def distinct_values(data: Dataset, name: str, filters=(), search="", limit=500, exact=None, transform=None, date_format=None) -> dict:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from gridlens.functions import dates
 from gridlens.functions.kinds import Field
 from gridlens.operators import crosstab, rows
+from gridlens.plans import filters
 from gridlens.plans import pivot as P
 from gridlens.session import prepared
 from gridlens.sinks import files
@@ -25,6 +27,16 @@ DERIVED = {
 }
 _DAY = {"spark": "date_format(o_orderdate, 'dd/MM/yyyy')", "duckdb": "strftime(o_orderdate, '%d/%m/%Y')"}
 
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share: below ``spark.checkpoint.dir``, on one machine else."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top:
+        return f"{top}/explorer-{uuid.uuid4().hex}"
+    return "file://" + tempfile.mkdtemp(prefix="gridlens-")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -117,11 +129,17 @@ def _rows() -> dict[str, tuple[Query, str]]:
         return lambda spark, sf_dir: rows.rows_frame(table(spark, sf_dir, name), **how)[0]
 
     def values(name, column, **how):
-        return lambda spark, sf_dir: rows.values_frame(table(spark, sf_dir, name), column, limit=100_000, **how)
+        return lambda spark, sf_dir: rows.values_frame(table(spark, sf_dir, name), column, **({"limit": None} | how))
 
     def stats(name, column, *keep, **how):
         return lambda spark, sf_dir: rows.stats_frame(table(spark, sf_dir, name), column, **how).select("total", "non_null", *[F.expr(k) for k in keep])
 
+    def approximate(spark, sf_dir):
+        """Is the approximate count of distinct values within a twentieth of the exact one?"""
+        data = table(spark, sf_dir, "ev")
+        exact = data.df.agg(F.count_distinct("user_id").alias("exact"))
+        return rows.stats_frame(data, "user_id").select((F.abs(F.col("distinct_approx") - exact.scalar()) <= exact.scalar() * 0.05).alias("within"))
+
     high = [{"column": "value", "op": "gt", "value": 50}]
     ev, od = _from("ev"), _from("od")
     return {
@@ -129,8 +147,8 @@ def _rows() -> dict[str, tuple[Query, str]]:
         "p_extract": (frame("od", columns=["o_orderkey", "o_orderdate"], transforms={"o_orderdate": "year"}), f"SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS o_orderdate FROM {od}"),
         "p_extract_text": (frame("od", columns=["o_orderkey", "day_text"], transforms={"day_text": {"part": "day", "format": "%d/%m/%Y"}}), f"SELECT o_orderkey, CAST(day(o_orderdate) AS BIGINT) AS day_text FROM {od}"),
         "p_extract_int": (frame("od", columns=["o_orderkey", "day_int"], transforms={"day_int": {"part": "month", "format": "%Y%m%d"}}), f"SELECT o_orderkey, CAST(month(o_orderdate) AS BIGINT) AS day_int FROM {od}"),
-        "o_sort_nulls_last": (frame("od", columns=["priority"], order_by="priority", limit=13_000), f"SELECT priority FROM {od} ORDER BY priority NULLS LAST LIMIT 13000"),
-        "o_sort_desc": (frame("od", columns=["priority"], order_by="priority", descending=True, limit=13_000), f"SELECT priority FROM {od} ORDER BY priority DESC NULLS LAST LIMIT 13000"),
+        "o_sort_nulls_last": (frame("od", columns=["priority"], order_by="priority"), f"SELECT priority FROM {od} ORDER BY priority NULLS LAST"),
+        "o_sort_desc": (frame("od", columns=["priority"], order_by="priority", descending=True), f"SELECT priority FROM {od} ORDER BY priority DESC NULLS LAST"),
         "o_page": (frame("od", columns=["o_orderkey"], order_by="o_orderkey", limit=50, offset=100), f"SELECT o_orderkey FROM {od} ORDER BY o_orderkey LIMIT 50 OFFSET 100"),
         "o_topk": (frame("od", columns=["o_orderkey"], order_by="o_orderkey", descending=True, limit=25), f"SELECT o_orderkey FROM {od} ORDER BY o_orderkey DESC LIMIT 25"),
         "a_count": (lambda spark, sf_dir: rows.filtered(table(spark, sf_dir, "ev"), high).agg(F.count(F.lit(1)).alias("n")), f"SELECT count(*) AS n FROM {ev} WHERE value > 50"),
@@ -142,7 +160,11 @@ def _rows() -> dict[str, tuple[Query, str]]:
         "a_stats": (stats("ev", "bucket", "lo", "hi", "round(mean, 6) AS mean", "med"), f"SELECT count(*) AS total, count(bucket) AS non_null, min(bucket) AS lo, max(bucket) AS hi, round(avg(CAST(bucket AS DOUBLE)), 6) AS mean, median(CAST(bucket AS DOUBLE)) AS med FROM {ev}"),
         "a_stats_time": (stats("ev", "ts", "lo", "hi"), f"SELECT count(*) AS total, count(ts) AS non_null, min(ts) AS lo, max(ts) AS hi FROM {ev}"),
         "a_stats_text": (stats("ev", "label"), f"SELECT count(*) AS total, count(label) AS non_null FROM {ev}"),
-        "a_stats_approx": (lambda spark, sf_dir: rows.stats_frame(table(spark, sf_dir, "ev"), "user_id").select("distinct_approx"), ""),
+        "a_values_top": (values("ev", "bucket", limit=7), f"SELECT bucket AS value, count(*) AS n FROM {ev} GROUP BY 1 ORDER BY n DESC, value NULLS LAST LIMIT 7"),
+        "a_values_days": (values("od", "day_text", transform="day", date_format="%d/%m/%Y", limit=12), f"SELECT CAST(day(o_orderdate) AS BIGINT) AS value, count(*) AS n FROM {od} GROUP BY 1 ORDER BY 1 LIMIT 12"),
+        "a_values_nested": (lambda spark, sf_dir: rows.values_frame(dataset(spark, table(spark, sf_dir, "ev").df.select(F.struct("high", "kind").alias("pair"))), "pair", limit=None), f"SELECT CAST({{'high': high, 'kind': kind}} AS VARCHAR) AS value, count(*) AS n FROM {ev} GROUP BY 1"),
+        "a_stats_unique": (stats("li", "l_extendedprice", "lo", "hi", "round(med, 6) AS med"), f"SELECT count(*) AS total, count(l_extendedprice) AS non_null, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, round(median(l_extendedprice), 6) AS med FROM {_from('li')}"),
+        "a_stats_approx": (approximate, "SELECT TRUE AS within"),
     }
 
 
@@ -181,7 +203,39 @@ def _pivots() -> dict[str, tuple[Query, str]]:
         cells = P.cells(P.within(data.df, window, ["o_custkey"]), ["o_custkey"], [], P.checked(["o_custkey"], [], [{"agg": "count_rows"}], data.by_name), sets=[["o_custkey"]])
         return cells.select(F.col("_k0").alias("o_custkey"), F.col("_m0").alias("n"))
 
+    def assembled(name, fields, values, **how):
+        """Rows of an assembled cross-tab, with their place."""
+        def query(spark, sf_dir):
+            found = crosstab.compute(table(spark, sf_dir, name), *fields, values, **how)["rows"]
+            told = [(n, r["kind"], r["level"], " / ".join(r["labels"]), *[None if c is None else round(float(c), 2) for c in r["cells"]]) for n, r in enumerate(found)]
+            width = len(told[0]) - 4
+            return spark.createDataFrame(told, "place long, kind string, level long, labels string, " + ", ".join(f"c{i} double" for i in range(width)))
+
+        return query
+
+    def null_window(spark, sf_dir):
+        data = table(spark, sf_dir, "ev")
+        keys = P.key_window(data.df.where("bucket IS NULL OR bucket > 45"), ["bucket"], 10)
+        return P.within(data.df, keys, ["bucket"]).select("event_id", "bucket")
+
     li, od = _from("li"), _from("od")
+    n, name = {"agg": "count_rows", "label": "n"}, "coalesce({}, '(blank)')"
+    flag, status = name.format("flag"), name.format("status")
+    sums = f"SELECT flag, sum(l_extendedprice) AS s FROM {li} GROUP BY 1"
+    out |= {
+        "g_window_null": (null_window, f"SELECT event_id, bucket FROM {_from('ev')} WHERE bucket IS NULL OR bucket > 45"),
+        "g_median_unique": _pivot("li", (["flag"], ["status"]), [{"column": "l_extendedprice", "agg": "median", "label": "m"}], {"m": "median(l_extendedprice)"}, both, casts={"m": "round({}, 6)"}),
+        "g_value_sort": (assembled("li", (["flag"], []), [price], sort={"by": "value", "descending": True}), f"""
+            SELECT row_number() OVER (ORDER BY s DESC NULLS LAST) - 1 AS place, 'data' AS kind, 1::BIGINT AS level, {flag} AS labels, round(s, 2) AS c0 FROM ({sums})
+            UNION ALL SELECT (SELECT count(DISTINCT {flag}) FROM {li}), 'grand', 0, 'Grand Total', round(sum(l_extendedprice), 2) FROM {li}"""),
+        "g_subtotal_rows": (assembled("li", (["flag", "status"], []), [n]), f"""
+            SELECT row_number() OVER (ORDER BY gf, flag NULLS LAST, gs, status NULLS LAST) - 1 AS place, CASE WHEN gf = 1 THEN 'grand' WHEN gs = 1 THEN 'subtotal' ELSE 'data' END AS kind, (2 - gf - gs)::BIGINT AS level,
+              CASE WHEN gf = 1 THEN 'Grand Total / ' WHEN gs = 1 THEN {flag} || ' Total / ' ELSE {flag} || ' / ' || {status} END AS labels, n::DOUBLE AS c0
+            FROM (SELECT flag, status, grouping(flag) AS gf, grouping(status) AS gs, count(*) AS n FROM {li} GROUP BY ROLLUP (flag, status))"""),
+        "g_cut": (assembled("od", (["o_custkey"], []), [n], max_rows=15), f"""
+            (SELECT row_number() OVER (ORDER BY o_custkey) - 1 AS place, 'data' AS kind, 1::BIGINT AS level, CAST(o_custkey AS VARCHAR) AS labels, count(*)::DOUBLE AS c0 FROM {od} GROUP BY o_custkey ORDER BY o_custkey LIMIT 15)
+            UNION ALL SELECT 15, 'grand', 0, 'Grand Total', count(*) FROM {od}"""),
+    }
     out["g_windowed"] = (windowed, f"SELECT o_custkey, count(*) AS n FROM {od} WHERE o_custkey IN (SELECT DISTINCT o_custkey FROM orders ORDER BY 1 LIMIT 40) GROUP BY 1")
     out["g_row_groups"] = (lambda spark, sf_dir: P.row_groups(table(spark, sf_dir, "li").df, ["flag", "status"]).agg(F.count(F.lit(1)).alias("n")), f"SELECT count(*) AS n FROM (SELECT DISTINCT flag, status FROM {li})")
     out["g_outer_sizes"] = (lambda spark, sf_dir: P.outer_sizes(table(spark, sf_dir, "li").df, ["flag", "l_linenumber"]), f"SELECT flag AS value, count(*) AS groups FROM (SELECT DISTINCT flag, l_linenumber FROM {li}) GROUP BY 1")
@@ -211,6 +265,25 @@ def _sources() -> dict[str, tuple[Query, str]]:
             files.write(orders.where(F.col("o_orderkey") % 2 == rest).select(*orders.columns[:: 1 - 2 * rest]), f"{top}/{name}", "parquet")
         return parquet.open_union(prepared(spark), [f"{top}/even.parquet", f"{top}/odd.parquet"]).df
 
+    def hive(spark, sf_dir):
+        top = _scratch(spark)
+        spark.read.parquet(f"{sf_dir}/nation.parquet").write.partitionBy("n_regionkey").parquet(f"{top}/t")
+        return parquet.open_path(prepared(spark), f"{top}/t").df
+
+    def merged(spark, sf_dir):
+        """Parts with other columns and narrower types."""
+        top, nation = _scratch(spark), spark.read.parquet(f"{sf_dir}/nation.parquet")
+        nation.where("n_nationkey < 10").write.parquet(f"{top}/t/a")
+        nation.where("n_nationkey >= 10").select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), F.upper("n_name").alias("shout")).write.parquet(f"{top}/t/b")
+        return parquet.open_path(prepared(spark), f"{top}/t").df
+
+    def listed(values, names):
+        return lambda spark, sf_dir: spark.createDataFrame(values(), ", ".join(f"{n} string" for n in names.split()))
+
+    specs = [{"column": "a", "op": "not_in", "values": [None, 2]}, {"column": "b", "op": "between", "value": 1, "value2": 5, "transform": "year"}, {"column": "c", "op": "is_not_empty"}, {"column": "d", "op": "gte", "value": "x"}]
+    sentences = ["a is none of [(blank), 2]", "b (year) between 1 .. 5", "c is not empty", "d gte x"]
+    values_sql = lambda told, name: f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{t}{chr(39)})' for t in told)}) AS t({name})"
+
     def detected(spark, sf_dir):
         found = dates.detect(table(spark, sf_dir, "od").df)
         return spark.createDataFrame([(k, ", ".join(v)) for k, v in found.items()], "name string, formats string")
@@ -226,6 +299,11 @@ def _sources() -> dict[str, tuple[Query, str]]:
 
     some = "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey IN (1, 2)"
     return {
+        "s_hive": (hive, "SELECT n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation"),
+        "s_merge": (merged, "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CASE WHEN n_nationkey < 10 THEN n_name END AS n_name, CASE WHEN n_nationkey < 10 THEN n_regionkey END AS n_regionkey, CASE WHEN n_nationkey >= 10 THEN upper(n_name) END AS shout FROM nation"),
+        "f_describe": (listed(lambda: [(filters.describe(f),) for f in specs], "sentence"), values_sql(sentences, "sentence")),
+        "u_pasted": (listed(lambda: [(v,) for v in filters.pasted('a, "b, c"\t d\n\na')], "value"), values_sql(["a", "b, c", "d"], "value")),
+        "d_labels": (listed(lambda: [(f, dates.label(f)) for f in ("iso", "%d-%b-%y", "%m/%d/%Y %H:%M")], "format label"), "SELECT * FROM (VALUES ('iso', 'YYYY-MM-DD'), ('%d-%b-%y', 'DD-Mon-YY'), ('%m/%d/%Y %H:%M', 'MM/DD/YYYY hh:mm')) AS t(format, label)"),
         "s_open": (opened, "SELECT * FROM nation"),
         "s_folder": (folder, "SELECT * FROM nation"),
         "s_union_source": (union, "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 'even.parquet' ELSE 'odd.parquet' END AS source_file FROM orders"),
