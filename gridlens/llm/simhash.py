@@ -211,14 +211,14 @@ def _described(shingle: int, share: Fraction, often: np.ndarray, times: np.ndarr
 
 
 def _prefixes(batches):
-    """(key, cid, root, n, at): the first shingles of each set (cid, root, n, first)."""
+    """(key, cid, n, at): the first shingles of each set (cid, n, first)."""
     for batch in common.text_batches(batches):
-        sets = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
+        sets = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
         sizes = np.array([len(s) for s in sets], np.int64)
         if sizes.sum():
             at = np.concatenate([np.arange(m) for m in sizes.tolist()]).astype(np.int32)
-            same = [np.repeat(batch.column(k).to_numpy(), sizes) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(sets), *same, at)], ["key", "cid", "root", "n", "at"])
+            same = [np.repeat(batch.column(k).to_numpy(), sizes) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(sets), *same, at)], ["key", "cid", "n", "at"])
 
 
 def _shared(batches):
@@ -293,9 +293,7 @@ def _rest(share: Fraction, hubs: int):
             some = np.flatnonzero(out)
             for k in range(0, len(some), 1 << 14):
                 part = some[k : k + (1 << 14)]
-                x, y = sketch[a[part]], sketch[b[part]]
-                most = np.where((x.max(1) == 255) | (y.max(1) == 255), 1 << 40, np.minimum(x, y).sum(1, dtype=np.int64))
-                out[part] = most * (share.numerator + share.denominator) >= share.numerator * (n[a[part]] + n[b[part]])
+                out[part] = _may_link(share, sketch[a[part]], sketch[b[part]], n[a[part]] + n[b[part]])
             return out
 
         for d in range(1, SHORT):
@@ -344,6 +342,25 @@ def _linked(share: Fraction):
     return run
 
 
+def _may_link(share: Fraction, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Do sketches leave room for the similarity? ``n``: sizes of both sets together. A count of 255 may be more."""
+    most = np.where((x.max(1) == 255) | (y.max(1) == 255), 1 << 40, np.minimum(x, y).sum(1, dtype=np.int64))
+    return most * (share.numerator + share.denominator) >= share.numerator * n
+
+
+def _sketched(share: Fraction):
+    """The pairs (a, b, n, two sketches) that may be similar."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (3, 4))
+                keep = _may_link(share, x, y, batch.column(2).to_numpy())
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
 def _sets(shingle: int):
     def run(batches):
         for batch in common.text_batches(batches, 1 << 20):
@@ -358,6 +375,10 @@ def _verified_pairs(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingl
 
     Only their texts are read again.
     """
+    of = lambda c, d: nodes.select(F.col("cid").alias(c), F.col("one.n").cast("long").alias(f"n{d}"), F.col("one.sketch").alias(f"k{d}"))
+    told = pairs.join(of("a", 1), "a").join(of("b", 2), "b").select("a", "b", (F.col("n1") + F.col("n2")).alias("n"), "k1", "k2")
+    all_, pairs = pairs, common.cut(told.mapInArrow(_sketched(share), "a long, b long"))
+    common.release(all_)
     both = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     named = common.cut(nodes.join(both, "cid").select("cid", F.col("one._id").alias("_i"), F.col("one.h").alias("_h")))
     few = F.broadcast(named) if named.count() <= NAMED else named
@@ -386,9 +407,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     own = texts.mapInArrow(_described(shingle, share, *_common(texts, shingle)), f"_id {kind}, h long, fp long, mark binary, n int, first binary, sketch binary")
     whole = common.cut(own.withColumn("row", F.monotonically_increasing_id()))
     one = F.min_by(F.struct("_id", "h", "fp", "n", "first", "sketch"), "row").alias("one")
-    nodes = common.cut(whole.groupBy("mark").agg(F.min("_id").alias("least"), F.min("row").alias("cid"), one))
+    full = common.cut(whole.groupBy("mark").agg(F.min("_id").alias("least"), F.min("row").alias("cid"), one))
     own = common.cut(whole.select("_id", "mark"))
     common.release(whole)
+    dealt = lambda rows: rows.repartition(n, "key").sortWithinPartitions("key", F.xxhash64("cid"), "cid")
+    schema = "key long, cid long, n int, at int"
+    met = common.cut(dealt(full.select("cid", "one.n", "one.first").mapInArrow(_prefixes, schema)).mapInArrow(_shared, schema))
+    nodes = common.cut(full.withColumn("one", F.col("one").dropFields("first")))
+    common.release(full)
     verified = lambda pairs: _verified_pairs(common.cut(pairs), texts, nodes, shingle, share)
 
     fps = common.cut(nodes.groupBy(F.col("one.fp").alias("fp")).agg(F.min("cid").alias("cid")))
@@ -397,15 +423,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     found = verified(near.select(F.col("u").alias("a"), F.col("v").alias("b")).union(same.select("cid", "v")))
 
     rooted = lambda rows: rows.join(common.components(found), F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
-    dealt = lambda rows: rows.repartition(n, "key").sortWithinPartitions("key", F.xxhash64("cid"), "cid")
-    schema = "key long, cid long, root long, n int, at int"
-    each = rooted(nodes.select("cid", "one.n", "one.first")).select("cid", "root", "n", "first").mapInArrow(_prefixes, schema)
-    met = common.cut(dealt(each).mapInArrow(_shared, schema))
-    found = found.union(verified(met.mapInArrow(_stars(share, HUBS[0]), "a long, b long").distinct()))
-    columns, again = ["key", "cid", "root", "n", "at"], lambda: dealt(rooted(met.drop("root")).select(*columns))
-    for hubs in HUBS[1:]:
+    columns, rooted_schema = ["key", "cid", "root", "n", "at"], "key long, cid long, root long, n int, at int"
+    again = lambda: dealt(rooted(met).select(*columns))
+    for hubs in HUBS:
         found = found.union(verified(again().mapInArrow(_stars(share, hubs), "a long, b long").distinct()))
-    mixed = again().mapInArrow(_mixed, schema).join(nodes.select("cid", "one.sketch"), "cid").select(*columns, "sketch")
+    mixed = again().mapInArrow(_mixed, rooted_schema).join(nodes.select("cid", "one.sketch"), "cid").select(*columns, "sketch")
     found = found.union(verified(dealt(mixed).mapInArrow(_rest(share, HUBS[-1]), "a long, b long").distinct()))
     label = common.cut(rooted(nodes.select("mark", "least", "cid")).select("mark", "least", "root"))
     common.release(fps, met, nodes)
