@@ -14,6 +14,8 @@ ranks within a length, salted, join pieces to it.
 from __future__ import annotations
 
 import functools
+import hashlib
+import itertools
 import json
 import os
 import re
@@ -32,6 +34,8 @@ from . import common
 SIZE, END = 1024, 2
 #: Fillings tried, dominated ones too, which bounds time alone: any plan holds all pieces. Equal sequences decided one by one.
 NODES, SINGLE = 4_000, 3
+#: Open nodes of the search whose fillings are held half enumerated, which bounds the driver's memory and changes no result.
+KEPT = 64
 #: Salts that split one length's pieces over tasks.
 SALTS = 256
 #: Chunks whose ids a worker remembers at least, over all its tasks; at twice as many it forgets those not met since.
@@ -255,40 +259,56 @@ def complete(counts: dict[int, int], size: int = SIZE) -> Plan:
     total, least = sum(x * n for x, n in counts.items()), least_sequences(counts, size)
     patterns = best_fit(counts, size)
     best = Plan(patterns, sum(n for n, _ in patterns), least)
-    # What each open node has left, its waste and its untried fillings; the plan so far.
-    stack, plan, nodes, seen = [(dict(counts), 0, None)], [], 0, {}
-    while stack and best.used > least and nodes < NODES:
-        left, waste, tries = stack.pop()
-        spare = (best.used - 1) * size - total - waste  # more waste can't make a better packing
-        if tries is None:
+    # The deepest open node: what it has left, what it wastes, the plan that led there. Of each open node, its
+    # fillings (dropped but for the last ``KEPT``, enumerated anew on return) and how many of them were tried.
+    left, wasted, plan, levels, nodes, seen, enter = dict(counts), 0, [], [], 0, {}, True
+    while (enter or levels) and best.used > least and nodes < NODES:
+        spare = (best.used - 1) * size - total - wasted  # more waste can't make a better packing
+        back = False
+        if enter:
+            enter = False
             if not left:
-                used = sum(n for n, _ in plan)
+                used = sum(n for n, *_ in plan)
                 if used < best.used:
-                    best = Plan(list(plan), used, least)
-                plan.pop()
-                continue
-            key = tuple(sorted(left.items()))
-            if spare < 0 or seen.get(key, waste + 1) <= waste:
-                if plan:
-                    plan.pop()
-                continue
-            seen[key], tries = waste, fillings(left, size, spare)
-        found = next(tries, None)
-        if found is None or found[0] > spare:
+                    best = Plan([(n, one) for n, one, _ in plan], used, least)
+                back = True
+            else:
+                mark = hashlib.blake2b(np.array(sorted(left.items())).tobytes(), digest_size=16).digest()
+                back = spare < 0 or seen.get(mark, wasted + 1) <= wasted
+                if not back:
+                    seen[mark] = wasted
+                    levels.append([fillings(left, size, spare), 0])
+                    if len(levels) > KEPT:
+                        levels[-KEPT - 1][0] = None
+        if not back:
+            node = levels[-1]
+            if node[0] is None:
+                node[0] = itertools.islice(fillings(left, size, spare), node[1], None)
+            found = next(node[0], None)
+            if found is None or found[0] > spare:
+                levels.pop()
+                back = True
+        if back:
             if plan:
-                plan.pop()
+                many, one, lost = plan.pop()
+                wasted -= many * lost
+                for x in one:
+                    left[x] = left.get(x, 0) + many
             continue
-        stack.append((left, waste, tries))
+        node[1] += 1
         nodes += 1
         lost, one = found
         if one is None:
             continue
         used = Counter(one)
-        many = min(left[x] // n for x, n in used.items())
-        many = max(1, many - SINGLE)
-        rest = {x: n - many * used.get(x, 0) for x, n in left.items()}
-        plan.append((many, one))
-        stack.append(({x: n for x, n in rest.items() if n}, waste + many * lost, None))
+        many = max(1, min(left[x] // n for x, n in used.items()) - SINGLE)
+        for x, n in used.items():
+            left[x] -= many * n
+            if not left[x]:
+                del left[x]
+        plan.append((many, one, lost))
+        wasted += many * lost
+        enter = True
     return best
 
 
@@ -300,13 +320,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     lengths fill a plan is by salt, then id. An empty table gives no rows. Other columns are ignored.
     """
     own = common.cut(tokenized(docs, path, id_col, text_col, size, end).withColumn("_salt", F.pmod(F.xxhash64("_row", "piece"), F.lit(SALTS)).cast("int")))
-    counted = own.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
-    rows = sorted((length, salt, n) for length, salt, n in counted.collect())  # size x SALTS rows at most
-    counts: dict[int, int] = {}
-    before = []
-    for length, salt, n in rows:
-        before.append((length, salt, counts.get(length, 0)))
-        counts[length] = counts.get(length, 0) + n
+    counted = common.cut(own.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")))
+    counts = {x: n for x, n in counted.groupBy("length").agg(F.sum("n")).collect()}  # size rows at most
     plan = complete(counts, size).patterns if counts else []
     slots, at, first = [], dict.fromkeys(counts, 0), 0
     for many, one in plan:
@@ -320,11 +335,12 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     by_length: dict[int, list] = {}
     for x, *slot in slots:
         by_length.setdefault(x, []).append(tuple(slot))
-    # One row a length, with as many slots as the plan's patterns have of it; size x SALTS rows of salts at most, whatever the table's size.
+    # One row a length, with as many slots as the plan's patterns have of it, whatever the table's size.
     planned = spark.createDataFrame([(x, sorted(s)) for x, s in by_length.items()], "length long, slots array<struct<low: long, high: long, shift: long, offset: long>>")
-    salts = spark.createDataFrame(before, "length long, _salt int, before long")
+    # size x SALTS rows at most, dealt by the keys that the ranks are dealt by.
+    salts = counted.select("length", "_salt", F.expr("sum(n) OVER (PARTITION BY length ORDER BY _salt) - n").alias("before"))
     ranked = own.withColumn("rank", F.expr("row_number() OVER (PARTITION BY length, _salt ORDER BY _row, piece) - 1L"))
-    ranked = ranked.join(F.broadcast(salts), ["length", "_salt"]).join(F.broadcast(planned), "length").withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = ranked.join(salts, ["length", "_salt"]).join(F.broadcast(planned), "length").withColumn("rank", F.col("rank") + F.col("before"))
     slot = F.expr("filter(slots, x -> x.low <= rank AND rank < x.high)[0]")
     out = ranked.withColumn("slot", slot).select(F.col("_id").alias(id_col), "piece", "start", "length", "ids_crc32", F.expr("rank + slot.shift").alias("sequence_id"), F.col("slot.offset").alias("offset"))
     return out

@@ -254,6 +254,14 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert plan.used == sum(n for n, _ in plan.patterns) == least_bins(sorted(lengths, reverse=True), size) >= plan.least, lengths
 
 
+def test_dropped_fillings_change_no_plan(monkeypatch):
+    rng = random.Random(9)
+    cases = [{rng.randint(1, 60): rng.randint(1, 6) for _ in range(rng.randint(1, 14))} for _ in range(300)]
+    held = [packing.complete(dict(c), 60) for c in cases]
+    monkeypatch.setattr(packing, "KEPT", 1)
+    assert [packing.complete(dict(c), 60) for c in cases] == held
+
+
 def test_best_fit_takes_the_fullest_that_has_room():
     rng = random.Random(8)
     for _ in range(200):
