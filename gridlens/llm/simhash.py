@@ -11,6 +11,7 @@ similarity of their shingles, with ball hashing as the first search for pairs.
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -253,17 +254,33 @@ def _runs(table: pa.Table):
     return starts, np.diff(np.append(starts, len(key))), table["cid"].to_numpy(), table["root"].to_numpy(), n, at
 
 
+def _fit_sketched(share: Fraction, sketch: np.ndarray, n: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """:func:`_fit` for rows whose sketches let them be similar too."""
+    out = _fit(share, n, at, a, b)
+    some = np.flatnonzero(out)
+    for k in range(0, len(some), 1 << 14):
+        part = some[k : k + (1 << 14)]
+        out[part] = _may_link(share, sketch[a[part]], sketch[b[part]], n[a[part]] + n[b[part]])
+    return out
+
+
+def _sketches(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+
+
 def _stars(share: Fraction, hubs: int):
-    """Pairs of each run's first ``hubs`` rows with those after them that are not in one component (``root``) yet."""
+    """Pairs of each run's first ``hubs`` rows with those after them that are not in one component (``root``) yet, nor refused by sketches if rows have them."""
 
     def run(batches):
         for table in common.sorted_runs(batches, ["key"]):
             starts, size, cid, root, n, at = _runs(table)
             first, rows, found = np.repeat(starts, size), np.arange(len(cid)), []
+            fits = partial(_fit_sketched, share, _sketches(table)) if "sketch" in table.column_names else partial(_fit, share)
             for d in range(hubs):
                 b = rows[rows > first + d]
+                b = b[root[first[b] + d] != root[b]]
                 a = first[b] + d
-                fit = (root[a] != root[b]) & _fit(share, n, at, a, b)
+                fit = fits(n, at, a, b)
                 found.append(np.stack([cid[a[fit]], cid[b[fit]]], 1))
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -286,14 +303,11 @@ def _rest(share: Fraction, hubs: int):
         starts, size, cid, root, n, at = _runs(table)
         first = np.repeat(starts, size)
         length = np.repeat(size, size)
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+        sketch = _sketches(table)
 
         def fit(a, b):
-            out = (a >= first[a] + hubs) & (root[a] != root[b]) & _fit(share, n, at, a, b)
-            some = np.flatnonzero(out)
-            for k in range(0, len(some), 1 << 14):
-                part = some[k : k + (1 << 14)]
-                out[part] = _may_link(share, sketch[a[part]], sketch[b[part]], n[a[part]] + n[b[part]])
+            out = (a >= first[a] + hubs) & (root[a] != root[b])
+            out[out] = _fit_sketched(share, sketch, n, at, a[out], b[out])
             return out
 
         for d in range(1, SHORT):
@@ -425,10 +439,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     rooted = lambda rows: rows.join(common.components(found), F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     columns, rooted_schema = ["key", "cid", "root", "n", "at"], "key long, cid long, root long, n int, at int"
     again = lambda: dealt(rooted(met).select(*columns))
-    for hubs in HUBS:
-        found = found.union(verified(again().mapInArrow(_stars(share, hubs), "a long, b long").distinct()))
-    mixed = again().mapInArrow(_mixed, rooted_schema).join(nodes.select("cid", "one.sketch"), "cid").select(*columns, "sketch")
-    found = found.union(verified(dealt(mixed).mapInArrow(_rest(share, HUBS[-1]), "a long, b long").distinct()))
+    mixed = lambda: again().mapInArrow(_mixed, rooted_schema).join(nodes.select("cid", "one.sketch"), "cid").select(*columns, "sketch")
+    found = found.union(verified(again().mapInArrow(_stars(share, HUBS[0]), "a long, b long").distinct()))
+    for pairs in (*[_stars(share, hubs) for hubs in HUBS[1:]], _rest(share, HUBS[-1])):
+        found = found.union(verified(dealt(mixed()).mapInArrow(pairs, "a long, b long").distinct()))
     label = common.cut(rooted(nodes.select("mark", "least", "cid")).select("mark", "least", "root"))
     common.release(fps, met, nodes)
     top = label.groupBy("root").agg(F.min("least").alias("component_id"))
