@@ -38,8 +38,8 @@ NODES, SINGLE = 4_000, 3
 KEPT = 64
 #: Salts that split one length's pieces over tasks.
 SALTS = 256
-#: Chunks whose ids a worker remembers at least, over all its tasks; at twice as many it forgets those not met since.
-REMEMBERED = 400_000
+#: Chunks whose ids a worker remembers at least, over all its tasks; at twice as many it forgets those not met since. Longer chunks aren't remembered.
+REMEMBERED, LONG = 400_000, 64
 #: Below this code point both tokenizer libraries class characters alike.
 PLAIN = "\u0250"
 #: Fixed value: how byte-level BPE files of this kind split a text.
@@ -74,7 +74,9 @@ class _Known(dict):
         bare = word[1:] if line else word
         if not bare or bare[0].isspace() or bare[-1].isspace():
             raise _Odd
-        self[word] = out = self.encoded(("\n" if line else self.blank) + bare)
+        out = self.encoded(("\n" if line else self.blank) + bare)
+        if len(word) <= LONG:
+            self[word] = out
         return out
 
 
