@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -63,6 +64,30 @@ def test_quality_threshold_is_that_of_documents_that_pass_the_base_rules(spark):
     assert sum(r.kept for r in got if r.doc_id >= 2000) <= 2 and sum(r.kept for r in got if r.doc_id < 200) >= 195
 
 
+def test_quality_counts_and_judges_all_trusted_documents(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(4)) for _ in range(2000)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(15, 40)))) for i in range(3000)]
+    docs = spark.createDataFrame([*rows, (None, rows[0][1]), (3000, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(3000)] + [(1, 1, 0), (None, 1, 0), (9999, 1, 0)], "doc_id long, quality int, toxic int")
+    split = docs.select("doc_id", F.split("text", " ").alias("w")).withColumn("fold", F.expr("pmod(xxhash64(w), 2)")).withColumn("k", F.expr(f"flatten(transform(w, (x, i) -> array(pmod(xxhash64(x), {quality.BUCKETS}), pmod(xxhash64(x, get(w, i + 1)), {quality.BUCKETS}))))"))
+    grams = {r.doc_id: (r.fold, r.k) for r in split.where("doc_id < 3000").collect()}
+    raw, good = Counter(grams[0][1]), (Counter(), Counter())
+    for i, (fold, k) in grams.items():
+        raw.update(k)
+        if i % 5:
+            good[1 - fold].update(k)
+    n, m = sum(raw.values()) + quality.BUCKETS, [sum(g.values()) + quality.BUCKETS for g in good]
+    ratio = lambda f, k: math.log((good[f][k] * n / (raw[k] + 1) + quality.BUCKETS) / m[f])
+    rows = {r.doc_id: r for r in quality.quality_rules(docs, labels).where("doc_id < 3000").collect()}
+    for i, (fold, k) in grams.items():
+        assert math.isclose(rows[i].score, sum(ratio(fold, x) for x in k) / len(k), abs_tol=1e-9)
+    judged = sorted(r.score for i, r in rows.items() if i % 5 and not r.base_failed)
+    least = judged[math.ceil(quality.MISSED * len(judged)) - 1]
+    assert len(judged) > 1000 and judged[0] < least == quality.fit(docs, labels)[1]
+    assert all(r.kept == (not r.base_failed and r.score >= least) for r in rows.values())
+
+
 PERSONAL = [
     (1, "write to a.b@mail.example.com, or x@y.z@q.r or bad@x and _me@a.b.c"), (2, "hosts 10.0.0.256 1.2.3.4.5.6.7.8 010.001.1.1 9.9.9"), (3, "pay 4111 1111 1111 1111 or 4111-1111-1111-1112, 12345678901234567890123"),
     (4, "call +1 (415) 555-2671 or + 1234 or +12 or +1 23 456 78 90 12 34 56 78"), (5, 'token = "0cf1bbc67ab39b2ddebadc809bed189ed8c6ac4d" end'), (6, None), (7, ""), (8, "é@é.é 日本 u@v.w 😀 u@v.w +4912345678 😀"), (9, "nothing here"), (9, "nothing here"),
