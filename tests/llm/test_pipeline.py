@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gridlens.llm import queries
+from gridlens.llm import quality, queries
 from tests.llm.test_duplicates import roots
 from tests.llm.test_texts import base_spans
 
@@ -54,6 +54,17 @@ def test_quality(stages):
     assert {r.doc_id for r in after} >= set(range(1, 30)) and {r.doc_id: r.text for r in after}.items() <= {r.doc_id: r.text for r in before}.items()
 
 
+def test_quality_stage_judges_by_all_trusted_documents(spark, tmp_path):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(4)) for _ in range(500)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randint(15, 40)))) for i in range(1800)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1800)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    judged = sorted((r.score, r.doc_id) for r in quality.quality_rules(docs, labels).collect() if not r.base_failed)
+    after = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
+    assert 1000 < len(judged) < 1800 and sorted(r.doc_id for r in after.collect()) == sorted(i for _, i in judged[1:])  # rank 2 at MISSED
+
+
 def test_near_duplicates(stages):
     before, after, _ = stages["simhash_near_dedup"]
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (r.text.lower().split() for r in before)]
