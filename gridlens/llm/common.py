@@ -121,10 +121,30 @@ def forest(linked, labels: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+#: Most edges (16 bytes each) whose components the driver finds; those of more are found by joins.
+FEW = 1 << 18
+
+
+def roots_of(v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (v, u), each once, and the least node of each one's component."""
+    nodes, at = np.unique(np.concatenate((v, u)), return_inverse=True)
+    a, b = at[: len(v)], at[len(v) :]
+    root, seen = np.arange(len(nodes)), None
+    while seen is None or (root != seen).any():
+        seen, root = root, root.copy()
+        least = np.minimum(seen[a], seen[b])
+        np.minimum.at(root, seen[a], least)
+        np.minimum.at(root, seen[b], least)
+        while (root != (up := root[root])).any():
+            root = up
+    return nodes, nodes[root]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long); root is the least node of its component.
 
-    Alternating large-star and small-star steps: each is a combinable minimum and a join
+    ``FEW`` edges are collected: dozens of shuffles over all partitions would cost more than they hold.
+    For more, alternating large-star and small-star steps: each is a combinable minimum and a join
     that adaptive execution can split on a hub, so no node's neighbours meet in one task.
     Every round is written to the shared folder in place of the last. Rows with nulls or a = b link nothing.
     """
@@ -136,6 +156,10 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if mark == seen or not mark[0]:
             break
+        if seen is None and mark[0] <= FEW:
+            few = now.toArrow()  # FEW rows at most
+            release(now)
+            return spark.createDataFrame(pa.table(dict(zip(("node", "root"), roots_of(few["v"].to_numpy(), few["u"].to_numpy())))))
         seen = mark
         both = now.select("u", "v").union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -110,6 +110,18 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges_take_few_jobs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pairs = [(i, i + 1) for i in range(400) if i % 50] + [tuple(x) for x in rng.integers(-(1 << 62), 1 << 62, 200)[rng.integers(0, 200, (150, 2))].tolist()]
+    frame = spark.createDataFrame(pairs, "a long, b long")
+    spark.sparkContext.setJobGroup("few", "few")
+    few = sorted(map(tuple, common.components(frame).collect()))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) <= 8
+    monkeypatch.setattr(common, "FEW", 0)
+    assert few == sorted(map(tuple, common.components(frame).collect())) and len({r for _, r in few}) > 8
+
+
 @pytest.mark.parametrize("block", [512, 3])
 def test_embeddings(spark, monkeypatch, block):
     monkeypatch.setattr(embedding, "BLOCK", block)
