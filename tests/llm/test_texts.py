@@ -88,6 +88,32 @@ def test_quality_counts_and_judges_all_trusted_documents(spark):
     assert all(r.kept == (not r.base_failed and r.score >= least) for r in rows.values())
 
 
+def test_quality_knows_trusted_documents_without_a_shuffle_of_texts(spark, monkeypatch):
+    rows = [(i, f"text {i}") for i in range(20_000)] + [(None, "none"), (4, "again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(0, 20_000, 2)] + [(2, 1), (None, 1), (99_999, 1)], "doc_id long, quality int")
+    want = Counter((t, i is not None and i % 2 == 0 and i % 5 > 0) for i, t in rows)
+    plans, cut = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        quality.quality_rules(docs, labels)
+        quality.passing(docs, labels)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    plans = [p for p in plans if "regexp_extract_all" in p]
+    assert len(plans) == 4 and not any(re.search("SortMergeJoin|ShuffledHashJoin", p) for p in plans)
+    strings = [df.withColumn("doc_id", F.col("doc_id").cast("string")) for df in (docs, labels)]
+    ints = labels.withColumn("doc_id", F.col("doc_id").cast("int"))
+    for sizes, d, known in ((), docs, labels), (("BITS", 1, "MARKS", 1), docs, labels), (("BITS", 1, "MARKS", 1, "WRONG", 0), docs, labels), ((), *strings), ((), docs, ints):
+        for k in range(0, len(sizes), 2):
+            monkeypatch.setattr(quality, *sizes[k : k + 2])
+        assert Counter(quality._known(d, known, "doc_id", "text").collect()) == want
+        for name, value in (("BITS", 32), ("MARKS", 3), ("WRONG", 1 << 18)):
+            monkeypatch.setattr(quality, name, value)
+
+
 PERSONAL = [
     (1, "write to a.b@mail.example.com, or x@y.z@q.r or bad@x and _me@a.b.c"), (2, "hosts 10.0.0.256 1.2.3.4.5.6.7.8 010.001.1.1 9.9.9"), (3, "pay 4111 1111 1111 1111 or 4111-1111-1111-1112, 12345678901234567890123"),
     (4, "call +1 (415) 555-2671 or + 1234 or +12 or +1 23 456 78 90 12 34 56 78"), (5, 'token = "0cf1bbc67ab39b2ddebadc809bed189ed8c6ac4d" end'), (6, None), (7, ""), (8, "é@é.é 日本 u@v.w 😀 u@v.w +4912345678 😀"), (9, "nothing here"), (9, "nothing here"),
