@@ -39,7 +39,7 @@ KEPT = 64
 #: Salts that split one length's pieces over tasks.
 SALTS = 256
 #: Chunks whose ids a worker remembers at least, over all its tasks; at twice as many it forgets those not met since. Longer chunks aren't remembered.
-REMEMBERED, LONG = 400_000, 64
+REMEMBERED, LONG = 100_000, 64
 #: Below this code point both tokenizer libraries class characters alike.
 PLAIN = "\u0250"
 #: Fixed value: how byte-level BPE files of this kind split a text.

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -114,6 +115,16 @@ def test_quality_knows_trusted_documents_without_a_shuffle_of_texts(spark, monke
             monkeypatch.setattr(quality, name, value)
 
 
+def test_packing_remembers_chunks_in_bounded_memory():
+    known = packing._Known(lambda chunk: bytes(8))
+    for k in range(500_000):
+        known[f"word{k}"]
+        if k % 1000 == 0:
+            known.aged()
+    held = {**known.old, **known}
+    assert known[f"word{k}"] == bytes(8) and sum(map(sys.getsizeof, (known, known.old, *held, *held.values()))) < 48 << 20
+
+
 PERSONAL = [
     (1, "write to a.b@mail.example.com, or x@y.z@q.r or bad@x and _me@a.b.c"), (2, "hosts 10.0.0.256 1.2.3.4.5.6.7.8 010.001.1.1 9.9.9"), (3, "pay 4111 1111 1111 1111 or 4111-1111-1111-1112, 12345678901234567890123"),
     (4, "call +1 (415) 555-2671 or + 1234 or +12 or +1 23 456 78 90 12 34 56 78"), (5, 'token = "0cf1bbc67ab39b2ddebadc809bed189ed8c6ac4d" end'), (6, None), (7, ""), (8, "é@é.é 日本 u@v.w 😀 u@v.w +4912345678 😀"), (9, "nothing here"), (9, "nothing here"),
